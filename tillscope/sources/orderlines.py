@@ -192,9 +192,7 @@ def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, n, c = F.col("l_orderkey"), F.col("l_linenumber"), F.col("o_custkey")
     columns = {
         "transaction_id": f["transaction_id"],
-        "transaction_time": F.concat(
-            F.date_format(F.col("ts"), "yyyy-MM-dd HH:mm:ss"), F.lit(".328105993")
-        ),
+        "transaction_time": F.concat(F.col("ts").cast("string"), F.lit(".328105993")),
         "customer_id": f["customer_id"],
         "merchant_id": f["merchant_id"],
         "account_age_days": _age(c),

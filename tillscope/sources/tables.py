@@ -13,6 +13,7 @@ from tillscope.session import fresh_path
 from tillscope.star import Star, star_from_tables
 
 REJECT = "_corrupt_record"
+TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
 def scan_csv_inferred(spark: SparkSession, path: str) -> DataFrame:
@@ -22,18 +23,23 @@ def scan_csv_inferred(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_csv(spark: SparkSession, path: str, table: Table) -> DataFrame:
     """CSV with a header into the declared columns; a malformed row fails the load."""
-    return spark.read.schema(table.schema).csv(path, header=True, mode="FAILFAST", enforceSchema=False)
+    reader = spark.read.schema(table.schema).option("timestampNTZFormat", TIME_FORMAT)
+    return reader.csv(path, header=True, mode="FAILFAST", enforceSchema=False)
 
 
 def scan_csv_rejects(spark: SparkSession, path: str, table: Table) -> tuple[DataFrame, DataFrame]:
     """The rows that fit the declared columns, and the text of those that do not."""
     schema = StructType([*table.schema.fields, StructField(REJECT, StringType(), True)])
-    rows = spark.read.schema(schema).csv(
-        path, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=REJECT
-    )
+    reader = spark.read.schema(schema).option("timestampNTZFormat", TIME_FORMAT)
+    rows = reader.csv(path, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=REJECT)
     return rows.where(F.col(REJECT).isNull()).drop(REJECT), rows.where(F.col(REJECT).isNotNull())
 
 
+def scan_columns(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """Only the named columns of a stored table; the others are not read."""
+    return spark.read.parquet(path).select(*columns)
+
+
 def literal_table(spark: SparkSession, table: Table, rows: Sequence[tuple]) -> DataFrame:
     """A small fixed table as a local relation, whose true size the optimizer knows."""
 
@@ -45,7 +51,7 @@ def literal_table(spark: SparkSession, table: Table, rows: Sequence[tuple]) -> D
 
 
 def export_csv(df: DataFrame, path: str) -> str:
-    df.write.csv(path, header=True, mode="errorifexists", timestampNTZFormat="yyyy-MM-dd HH:mm:ss")
+    df.write.option("timestampNTZFormat", TIME_FORMAT).csv(path, header=True, mode="errorifexists")
     return path
 
 
@@ -123,7 +129,7 @@ def write_layout(
     """
     spark = fact.sparkSession
     keys = ["txn_month", "customer_id", "merchant_id", "transaction_id"]
-    rows = fact.withColumn("txn_month", F.date_format("transaction_timestamp", "yyyy-MM"))
+    rows = fact.withColumn("txn_month", F.substring(F.col("transaction_timestamp").cast("string"), 1, 7))
     if bucket_table:
         (
             rows.write.partitionBy("txn_month")
