@@ -1,5 +1,5 @@
 """Payment risk and revenue analytics as PySpark DataFrame operations."""
 
-from tillscope.star import Star, make_star
+from tillscope.star import Star
 
-__all__ = ["Star", "make_star"]
+__all__ = ["Star"]

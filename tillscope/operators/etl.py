@@ -16,7 +16,7 @@ from tillscope import schemas
 from tillscope.functions.exact import draw, key_digest, pct, weighted_choice
 from tillscope.schemas import CITY_STATE, FAILURE_REASONS, PAYMENT_METHODS, TABLES
 from tillscope.sources.tables import literal_table
-from tillscope.star import Star, is_failed, make_star
+from tillscope.star import Star, is_failed
 
 
 class PeakSegment(NamedTuple):
@@ -234,7 +234,7 @@ def build_fact(raw: DataFrame, customers: DataFrame, methods: DataFrame, w: Peak
 def build_star(raw: DataFrame) -> Star:
     spark = raw.sparkSession
     customers, methods = build_customers(raw), payment_methods(spark)
-    return make_star(
+    return Star(
         build_fact(raw, customers, methods), customers, build_merchants(raw), methods, failure_reasons(spark)
     )
 

@@ -60,18 +60,20 @@ def shape(df: DataFrame) -> DataFrame:
 def nulls(df: DataFrame) -> DataFrame:
     """Missing values per column, counted in one pass, and whether any column has one."""
     counts = [F.count_if(_missing(df, c)).alias(f"_{i}") for i, c in enumerate(df.columns)]
+    worst = F.greatest(F.lit(0), *[F.col(f"_{i}") for i in range(len(counts))])
+    counted = df.agg(F.count("*").alias("n"), *counts).withColumn("_any", F.when(worst > 0, "YES").otherwise("NO"))
     lines = [
         F.struct(
             F.lit(c).alias("column_name"),
             F.col(f"_{i}").alias("null_count"),
-            pct(F.col(f"_{i}"), F.col("n")).alias("null_pct"),
-            F.when(F.greatest(F.lit(0), *[F.col(f"_{j}") for j in range(len(counts))]) > 0, "YES")
-            .otherwise("NO")
-            .alias("any_nulls"),
+            F.col("n").alias("total_rows"),
+            F.col("_any").alias("any_nulls"),
         )
         for i, c in enumerate(df.columns)
     ]
-    return _lines(df.agg(F.count("*").alias("n"), *counts), lines)
+    return _lines(counted, lines).select(
+        "column_name", "null_count", pct(F.col("null_count"), F.col("total_rows")).alias("null_pct"), "any_nulls"
+    )
 
 
 def duplicates(df: DataFrame) -> DataFrame:
@@ -187,16 +189,15 @@ def medians(df: DataFrame, names: list[str]) -> DataFrame:
     their counts added up slice by slice, so no task holds a whole column.
     """
     values = (
-        df.select(*[F.col(c).cast("double").alias(c) for c in names])
-        .unpivot([], names, "column_name", "value")
+        df.select(F.posexplode(F.array(*[F.col(c).cast("double") for c in names])).alias("place", "value"))
         .where(F.col("value").isNotNull() & ~F.isnan("value"))
-        .groupBy("column_name", "value")
+        .groupBy("place", "value")
         .agg(F.count("*").alias("n"))
     )
     placed = running_total(
-        values, [F.asc("column_name"), F.asc("value")], "n", running="upto", position="pos", total="all_n"
+        values, [F.asc("place"), F.asc("value")], "n", running="upto", position="pos", total="all_n"
     )
-    spans = placed.groupBy("column_name").agg(
+    spans = placed.groupBy("place").agg(
         F.min(F.col("upto") - F.col("n")).alias("base"), F.max("upto").alias("end")
     )
     size = F.col("end") - F.col("base")
@@ -208,11 +209,14 @@ def medians(df: DataFrame, names: list[str]) -> DataFrame:
         return (first < rank) & (rank <= F.col("upto"))
 
     return (
-        placed.join(spans, "column_name")
+        placed.join(spans, "place")
         .where(holds(low) | holds(high))
-        .groupBy("column_name")
+        .groupBy("place")
         .agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-        .select("column_name", ((F.col("lo") + F.col("hi")) / 2.0).alias("median_value"))
+        .select(
+            F.element_at(F.array(*[F.lit(c) for c in names]), F.col("place") + 1).alias("column_name"),
+            ((F.col("lo") + F.col("hi")) / 2.0).alias("median_value"),
+        )
     )
 
 

@@ -171,7 +171,7 @@ def fk_orphan_audit(star: Star) -> DataFrame:
 def fk_orphan_rows(star: Star, column: str) -> DataFrame:
     """The fact rows whose ``column`` points to no dimension row."""
     table = next(t for _, c, t in FOREIGN_KEYS if c == column)
-    return star.fact.join(star.tables()[table].select(column), column, "left_anti")
+    return star.fact.join(star.table(table).select(column), column, "left_anti")
 
 
 def default_fill(fact: DataFrame) -> DataFrame:

@@ -1,24 +1,57 @@
 """Star view and raw feed over the order-line tables of the test data.
 
 Each line item is one payment transaction. All columns are formulas of the keys; the only join of the fact
-is line items to orders, on the order key.
+is line items to orders, on the order key. The star and the feed are built once per session and sf_dir and
+kept as Parquet under the shared folder; queries scan what was stored, with their filters and columns pushed
+to the scan.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tillscope.functions.exact import to_money
 from tillscope.schemas import CITY_STATE, FAILURE_REASONS, GATEWAYS, PAYMENT_METHODS, RAW_FEED, TABLES
+from tillscope.session import fresh_path
 from tillscope.sources.tables import literal_table
-from tillscope.star import Star, make_star
+from tillscope.star import Star
+
+
+# Columns read from the input tables; a declared schema saves reading every file's footer to infer one.
+INPUTS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
+    " l_extendedprice double, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint",
+    "customer": "c_custkey bigint, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_type string",
+}
+
+_stored: dict[tuple[str, str, str], str] = {}
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(INPUTS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the input has fewer splits than that; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def _store_once(spark: SparkSession, sf_dir: str, name: str, build, schema: StructType) -> DataFrame:
+    """The table ``build`` makes, written on first use in a session and scanned from then on."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        path = fresh_path(spark, name)
+        build(spark, sf_dir).write.parquet(path)
+        _stored[key] = path
+    return spark.read.schema(schema).parquet(_stored[key])
 
 
 def _steps(value: Column, steps: list[tuple[int, object]], last: object) -> Column:
@@ -159,22 +192,29 @@ def _fact_columns() -> dict[str, Column]:
 
 
 def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    lines = _lines(_read(spark, sf_dir, "lineitem"), orders)
+    lines = _lines(_spread(_read(spark, sf_dir, "lineitem")), _read(spark, sf_dir, "orders"))
     return lines.select(*[c.alias(name) for name, c in _fact_columns().items()])
 
 
 def star_view(spark: SparkSession, sf_dir: str) -> Star:
-    return make_star(
-        fact(spark, sf_dir),
-        customers(spark, sf_dir),
-        merchants(spark, sf_dir),
-        literal_table(spark, TABLES["dim_payment_methods"], PAYMENT_METHODS),
-        literal_table(spark, TABLES["dim_failure_reasons"], FAILURE_REASONS),
+    def stored(name: str, build, extra: Sequence[StructField] = ()) -> Callable[[], DataFrame]:
+        schema = StructType([*TABLES[name].schema.fields, *extra])
+        return lambda: _store_once(spark, sf_dir, name, build, schema)
+
+    return Star(
+        stored("fact_transactions", fact, [StructField("amount_cents", LongType())]),
+        stored("dim_customers", customers),
+        stored("dim_merchants", merchants),
+        lambda: literal_table(spark, TABLES["dim_payment_methods"], PAYMENT_METHODS),
+        lambda: literal_table(spark, TABLES["dim_failure_reasons"], FAILURE_REASONS),
     )
 
 
 def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _store_once(spark, sf_dir, "raw_feed", build_raw_feed, RAW_FEED)
+
+
+def build_raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat 21-column feed the ETL starts from.
 
     Customers are joined to orders before the line items are: the next join is on another key, so a hot
@@ -183,11 +223,10 @@ def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     buyer = _read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     orders = (
         _read(spark, sf_dir, "orders")
-        .select("o_orderkey", "o_custkey")
         .join(buyer, F.col("o_custkey") == F.col("c_custkey"))
         .drop("c_custkey")
     )
-    lines = _lines(_read(spark, sf_dir, "lineitem"), orders)
+    lines = _lines(_spread(_read(spark, sf_dir, "lineitem")), orders)
     f = _fact_columns()
     o, n, c = F.col("l_orderkey"), F.col("l_linenumber"), F.col("o_custkey")
     columns = {

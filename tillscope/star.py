@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,41 +10,59 @@ from pyspark.sql import functions as F
 from tillscope.functions.exact import to_cents
 from tillscope.schemas import TABLES
 
+Source = DataFrame | Callable[[], DataFrame]
 
-class Star(NamedTuple):
-    fact: DataFrame
-    customers: DataFrame
-    merchants: DataFrame
-    methods: DataFrame
-    reasons: DataFrame
 
-    def tables(self) -> dict[str, DataFrame]:
-        """Contract columns of each table by table name; helper columns are left out."""
-        frames = {
-            "dim_customers": self.customers,
-            "dim_merchants": self.merchants,
-            "dim_payment_methods": self.methods,
-            "dim_failure_reasons": self.reasons,
-            "fact_transactions": self.fact,
+class Star:
+    """The five tables of the star. Each is a frame, or a function that makes the frame on first use."""
+
+    def __init__(self, fact: Source, customers: Source, merchants: Source, methods: Source, reasons: Source):
+        self._sources = {
+            "fact_transactions": fact,
+            "dim_customers": customers,
+            "dim_merchants": merchants,
+            "dim_payment_methods": methods,
+            "dim_failure_reasons": reasons,
         }
-        return {name: df.select(*TABLES[name].names) for name, df in frames.items()}
 
+    def table(self, name: str) -> DataFrame:
+        source = self._sources[name]
+        if not isinstance(source, DataFrame):
+            source = source()
+            self._sources[name] = source
+        if name == "fact_transactions" and "amount_cents" not in source.columns:
+            source = source.withColumn("amount_cents", to_cents(F.col("amount")))
+            self._sources[name] = source
+        return source
+
+    @property
+    def fact(self) -> DataFrame:
+        """The fact, with the helper column ``amount_cents``."""
+        return self.table("fact_transactions")
+
+    @property
+    def customers(self) -> DataFrame:
+        return self.table("dim_customers")
+
+    @property
+    def merchants(self) -> DataFrame:
+        return self.table("dim_merchants")
+
+    @property
+    def methods(self) -> DataFrame:
+        return self.table("dim_payment_methods")
+
+    @property
+    def reasons(self) -> DataFrame:
+        return self.table("dim_failure_reasons")
 
-def make_star(
-    fact: DataFrame,
-    customers: DataFrame,
-    merchants: DataFrame,
-    methods: DataFrame,
-    reasons: DataFrame,
-) -> Star:
-    """Bundle five tables; the fact gains the helper column ``amount_cents`` where it lacks it."""
-    if "amount_cents" not in fact.columns:
-        fact = fact.withColumn("amount_cents", to_cents(F.col("amount")))
-    return Star(fact, customers, merchants, methods, reasons)
+    def tables(self) -> dict[str, DataFrame]:
+        """Contract columns of each table by table name; helper columns are left out."""
+        return {name: self.table(name).select(*t.names) for name, t in TABLES.items()}
 
 
 def star_from_tables(tables: dict[str, DataFrame]) -> Star:
-    return make_star(
+    return Star(
         tables["fact_transactions"],
         tables["dim_customers"],
         tables["dim_merchants"],
