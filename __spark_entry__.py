@@ -279,7 +279,7 @@ def run_sql(star: Star) -> DataFrame:
 
 
 def report_catalog(star: Star) -> DataFrame:
-    return suite.run_suite(star, fresh_path(star.fact.sparkSession, "suite"))
+    return suite.run_suite(star, fresh_path(star.fact.sparkSession, "suite"), store=False)
 
 
 REPORTS = {

@@ -8,8 +8,8 @@ from pyspark.sql.types import DoubleType, FloatType, NumericType, StringType
 from pyspark.sql.window import Window
 
 from tillscope.functions.exact import pct, round4
-from tillscope.operators.prefix import running_total
 from tillscope.operators.quality import union_all
+from tillscope.session import settle
 
 DAYS_PER_MONTH = 30.4375
 DATE, NUMBER, TEXT = "date", "numeric", "text"
@@ -185,8 +185,9 @@ def categories(df: DataFrame, top_k: int = 5) -> DataFrame | None:
 def medians(df: DataFrame, names: list[str]) -> DataFrame:
     """Exact median per column, at any size.
 
-    Equal values are folded before the shuffle. The distinct values of all columns are put in one order and
-    their counts added up slice by slice, so no task holds a whole column.
+    Equal values are folded before the shuffle. The distinct values are range-partitioned into slices and settled;
+    the slice totals tell which slices hold the middle ranks, and only those, two per column at most, are
+    searched. That bound is also the size of the one table broadcast.
     """
     values = (
         df.select(F.posexplode(F.array(*[F.col(c).cast("double") for c in names])).alias("place", "value"))
@@ -194,23 +195,36 @@ def medians(df: DataFrame, names: list[str]) -> DataFrame:
         .groupBy("place", "value")
         .agg(F.count("*").alias("n"))
     )
-    placed = running_total(
-        values, [F.asc("place"), F.asc("value")], "n", running="upto", position="pos", total="all_n"
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = settle(
+        values.repartitionByRange(slices, "place", "value").withColumn("slice", F.spark_partition_id())
     )
-    spans = placed.groupBy("place").agg(
-        F.min(F.col("upto") - F.col("n")).alias("base"), F.max("upto").alias("end")
+    whole = Window.partitionBy("place")
+    earlier = whole.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.sum("part").over(whole)
+    ranks = (
+        placed.groupBy("place", "slice")
+        .agg(F.sum("n").alias("part"))
+        .select(
+            "place",
+            "slice",
+            "part",
+            F.coalesce(F.sum("part").over(earlier), F.lit(0)).alias("before"),
+            F.call_function("div", size + 1, F.lit(2)).alias("low"),
+            (F.call_function("div", size, F.lit(2)) + 1).alias("high"),
+        )
+        .where((F.col("before") < F.col("high")) & (F.col("low") <= F.col("before") + F.col("part")))
     )
-    size = F.col("end") - F.col("base")
-    low = F.col("base") + F.call_function("div", size + 1, F.lit(2))
-    high = F.col("base") + F.call_function("div", size, F.lit(2)) + 1
-    first = F.col("upto") - F.col("n")
+    inside = Window.partitionBy("place", "slice").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.col("upto")
 
     def holds(rank: Column) -> Column:
-        return (first < rank) & (rank <= F.col("upto"))
+        return (upto - F.col("n") < rank) & (rank <= upto)
 
     return (
-        placed.join(spans, "place")
-        .where(holds(low) | holds(high))
+        placed.join(F.broadcast(ranks), ["place", "slice"])
+        .withColumn("upto", F.col("before") + F.sum("n").over(inside))
+        .where(holds(F.col("low")) | holds(F.col("high")))
         .groupBy("place")
         .agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
         .select(

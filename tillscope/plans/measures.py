@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tillscope.functions.exact import safe_div, to_money
+from tillscope.operators.totals import with_totals
 from tillscope.session import settle
 from tillscope.star import Star
 
@@ -41,6 +42,9 @@ MERCHANT_COLUMNS = {
 }
 
 
+ENTITY_IDS = {"customer_id": CUSTOMER_COLUMNS, "merchant_id": MERCHANT_COLUMNS}
+
+
 def equals(value: object) -> Test:
     return lambda c: c == value
 
@@ -297,10 +301,25 @@ SHOWN = "_shown"
 def term_sums(star: Star, terms: Sequence[Term], keys: Sequence[str], where: Filters) -> DataFrame:
     """One row per combination of ``keys``, with each term summed under its own filters.
 
-    Two steps: fact rows are folded on the keys found in the fact and on the customer or merchant id where one
-    of their columns is needed; then the grouped rows get those columns and are folded to ``keys``.
+    Terms that need a customer or merchant column, where the others do not, are folded apart from them: only the
+    rows they can count are grouped by customer or merchant.
+    """
+    terms = _unique(terms)
+    shown = Term(SHOWN, "rows")
+    near = [t for t in terms if any(_is_entity_column(c) for c in t.filters)]
+    if not near or any(_is_entity_column(c) or c in ENTITY_IDS for c in (*keys, *where)):
+        return _fill_rows(_fold(star, [*terms, shown], keys, where), terms)
+    far = [t for t in terms if t not in near]
+    frames = [_fold(star, [*far, shown], keys, where), _fold(star, near, keys, where)]
+    return _fill_rows(_align(frames, keys), terms)
+
+
+def _fold(star: Star, terms: Sequence[Term], keys: Sequence[str], where: Filters) -> DataFrame:
+    """The sums of ``term_sums`` in two steps.
+
+    Fact rows are folded on the keys found in the fact and on the customer or merchant id where one of their
+    columns is needed; then the grouped rows get those columns and are folded to ``keys``.
     """
-    terms = [*_unique(terms), Term(SHOWN, "rows")]
     tests = {t.name: {**where, **t.filters} for t in terms}
     used = {c for t in tests.values() for c in t} | set(keys)
     rows = star.fact
@@ -312,24 +331,19 @@ def term_sums(star: Star, terms: Sequence[Term], keys: Sequence[str], where: Fil
         rows = rows.withColumn("txn_hour", F.hour("transaction_timestamp"))
     if "txn_month" in used:
         rows = rows.withColumn("txn_month", F.month("transaction_timestamp"))
-    # A slicer that no term replaces holds for every term, so the rows can be cut before any work.
-    common = [c for c in where if not _is_entity_column(c) and all(c not in t.filters for t in terms)]
-    rows = rows.where(_all([where[c](F.col(c)) for c in common]))
-
-    ids = []
-    if used & set(CUSTOMER_COLUMNS) or "customer_id" in keys:
-        ids.append("customer_id")
-    if used & set(MERCHANT_COLUMNS) or "merchant_id" in keys:
-        ids.append("merchant_id")
+
+    def row_test(t: Term) -> Column:
+        return _all([p(F.col(c)) for c, p in tests[t.name].items() if not _is_entity_column(c)])
+
+    # Rows no term can count need no work: this lets slicers and shared filters reach the scan.
+    rows = rows.where(reduce(Column.__or__, [row_test(t) for t in terms]))
+
+    ids = [i for i, columns in ENTITY_IDS.items() if used & set(columns) or i in keys]
     own = [k for k in keys if not _is_entity_column(k) and k not in ids]
-    sums = []
-    for t in terms:
-        row_tests = [p(F.col(c)) for c, p in tests[t.name].items() if not _is_entity_column(c) and c not in common]
-        value = KIND_VALUE[t.kind]()
-        sums.append(F.sum(F.when(_all(row_tests), value) if row_tests else value).alias(t.name))
+    sums = [F.sum(F.when(row_test(t), KIND_VALUE[t.kind]())).alias(t.name) for t in terms]
     grouped = rows.groupBy(*own, *ids).agg(*sums)
     if not any(_is_entity_column(c) for c in used):
-        return _fill_rows(grouped, terms)
+        return grouped
 
     for id_name, columns, table in (
         ("customer_id", CUSTOMER_COLUMNS, star.customers),
@@ -341,14 +355,14 @@ def term_sums(star: Star, terms: Sequence[Term], keys: Sequence[str], where: Fil
             grouped = grouped.join(names, id_name, "left")
     folded = []
     for t in terms:
-        entity_tests = [p(F.col(c)) for c, p in tests[t.name].items() if _is_entity_column(c)]
-        folded.append(F.sum(F.when(_all(entity_tests), F.col(t.name)) if entity_tests else t.name).alias(t.name))
-    return _fill_rows(grouped.groupBy(*keys).agg(*folded), terms)
+        entity_test = _all([p(F.col(c)) for c, p in tests[t.name].items() if _is_entity_column(c)])
+        folded.append(F.sum(F.when(entity_test, F.col(t.name))).alias(t.name))
+    return grouped.groupBy(*keys).agg(*folded)
 
 
 def _fill_rows(df: DataFrame, terms: Sequence[Term]) -> DataFrame:
     """Counts of no rows are 0; sums of no rows stay missing."""
-    return df.na.fill(0, [t.name for t in terms if t.kind in ("rows", "risk_rows")])
+    return df.na.fill(0, [SHOWN, *[t.name for t in terms if t.kind in ("rows", "risk_rows")]])
 
 
 def replace_filters(df: DataFrame, terms: Sequence[Term], keys: Sequence[str]) -> DataFrame:
@@ -399,7 +413,7 @@ def _spread(df: DataFrame, own: list[str], spine: DataFrame, by: Sequence[str])
         return df
     value = [c for c in df.columns if c not in own]
     if not own:
-        return spine.select(*by, *[df.select(c).scalar().alias(c) for c in value])
+        return with_totals(spine.select(*by), df)
     right = df.select(*[F.col(c).alias(f"_{c}") for c in own], *value)
     same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in own])
     return spine.join(right, same, "left").select(*by, *value)

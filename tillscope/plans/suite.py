@@ -6,10 +6,9 @@ from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tillscope.operators.quality import union_all
 from tillscope.plans import reports
 from tillscope.sources.tables import export_csv, read_star, write_star
 from tillscope.star import Star
@@ -70,20 +69,17 @@ def run_sql(spark: SparkSession, star: Star, text: str) -> DataFrame:
         raise RuntimeError(f"Query execution error (Spark): {e}") from e
 
 
-def run_suite(star: Star, folder: str) -> DataFrame:
-    """Run and export every report; returns one line per report with its file and row count.
+def run_suite(star: Star, folder: str, store: bool = True) -> DataFrame:
+    """Run and export every report; returns one line per report with its file and the rows written.
 
-    The star is written once, so that six reports do not derive it six times.
+    ``store`` first writes the star to ``folder``, so that six reports do not derive it six times; leave it out
+    where the tables are scans already.
     """
     spark = star.fact.sparkSession
-    stored = read_star(spark, write_star(star, f"{folder}/star"))
+    stored = read_star(spark, write_star(star, f"{folder}/star")) if store else star
     lines = []
     for r in SUITE:
-        path = export_csv(r.run(stored), f"{folder}/{r.file}")
-        written = spark.read.csv(path, header=True)
-        lines.append(
-            written.agg(F.count("*").alias("exported_rows")).select(
-                F.lit(r.id).alias("report_id"), F.lit(r.name).alias("report_name"), F.lit(r.file).alias("file_name"), "exported_rows"
-            )
-        )
-    return union_all(lines)
+        written = Observation()
+        export_csv(r.run(stored).observe(written, F.count("*").alias("n")), f"{folder}/{r.file}")
+        lines.append((r.id, r.name, r.file, written.get["n"]))
+    return spark.createDataFrame(lines, "report_id int, report_name string, file_name string, exported_rows bigint")
