@@ -1,6 +1,7 @@
 from datetime import datetime
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tiny import customer, merchant, tiny_star, txn
@@ -97,10 +98,11 @@ def test_pareto_cut(spark):
     assert [r.cumulative_loss_pct for r in crossing] == [D("80.00"), D("95.00")]
 
 
-def test_running_total_equals_plain_window(spark):
+@pytest.mark.parametrize("slices", [None, 1, 13])
+def test_running_total_equals_plain_window(spark, slices):
     df = spark.range(5000).select("id", (F.pmod(F.hash("id"), F.lit(7)) + 1).cast("bigint").alias("v"))
     order = [F.desc("v"), F.asc("id")]
-    got = running_total(df, order, "v", slices=13)
+    got = running_total(df, order, "v", slices=slices)
     w = Window.orderBy(*order)
     want = df.withColumns(
         {

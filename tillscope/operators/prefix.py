@@ -13,6 +13,12 @@ from tillscope.session import settle
 SLICE = "_slice"
 
 
+def range_slices(df: DataFrame, order: Sequence[Column], slices: int | None, name: str) -> DataFrame:
+    """Range-partition by ``order`` and number the partitions, in ascending order."""
+    placed = df.repartitionByRange(slices, *order) if slices else df.repartitionByRange(*order)
+    return placed.withColumn(name, F.spark_partition_id())
+
+
 def running_total(
     df: DataFrame,
     order: Sequence[Column],

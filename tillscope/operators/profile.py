@@ -8,6 +8,7 @@ from pyspark.sql.types import DoubleType, FloatType, NumericType, StringType
 from pyspark.sql.window import Window
 
 from tillscope.functions.exact import pct, round4
+from tillscope.operators.prefix import range_slices
 from tillscope.operators.quality import union_all
 from tillscope.session import settle
 
@@ -195,10 +196,7 @@ def medians(df: DataFrame, names: list[str]) -> DataFrame:
         .groupBy("place", "value")
         .agg(F.count("*").alias("n"))
     )
-    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = settle(
-        values.repartitionByRange(slices, "place", "value").withColumn("slice", F.spark_partition_id())
-    )
+    placed = settle(range_slices(values, [F.asc("place"), F.asc("value")], None, "slice"))
     whole = Window.partitionBy("place")
     earlier = whole.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     size = F.sum("part").over(whole)

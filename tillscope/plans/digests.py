@@ -22,13 +22,11 @@ def _leader(value: str, order: str, key: str) -> Column:
 
 def top_share(reasons: DataFrame) -> DataFrame:
     """Leading failure reason, its loss, and its percent (one decimal) of the summed loss."""
-    loss = "total_lost_amount_inr"
-    first = reasons.orderBy(F.desc(loss), "failure_reason_code").limit(1).select("failure_reason_code", loss)
-    whole = reasons.agg(_total(loss).alias("total_loss_inr"))
-    return first.select(
-        F.col("failure_reason_code").alias("top_reason"),
-        F.col(loss).alias("top_amount_inr"),
-        whole.scalar().alias("total_loss_inr"),
+    loss, code = F.col("total_lost_amount_inr"), F.col("failure_reason_code")
+    return reasons.agg(
+        F.min_by(code, F.struct(-loss, code)).alias("top_reason"),
+        F.max(loss).alias("top_amount_inr"),
+        _total("total_lost_amount_inr").alias("total_loss_inr"),
     ).withColumn(
         "top_pct",
         (

@@ -433,7 +433,8 @@ def _merchant_frames(star: Star, names: Sequence[str], by: Sequence[str], where:
     loss = FAILED_VOLUME.name
     terms = _unique([t for n in names for t in MEASURES[n].terms])
     base = _visual_terms(star, terms, [*by, "merchant_id"], where)
-    if len(names) > 1:
+    if any(MEASURES[n].kind != "merchant" for n in names):
+        # Read more than once below; it has one row per merchant and group, so it is small next to the fact.
         base = settle(base)
     known = base.where(F.col("merchant_id").isNotNull())
 

@@ -46,8 +46,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that no earlier write has used."""
-    return f"{shared_folder(spark).rstrip('/')}/tillscope/{uuid.uuid4().hex}/{name}"
+    """A path that no earlier write has used, in this application's own folder under the shared one."""
+    run = spark.sparkContext.applicationId
+    return f"{shared_folder(spark).rstrip('/')}/tillscope/{run}/{uuid.uuid4().hex}/{name}"
 
 
 def settle(df: DataFrame) -> DataFrame:

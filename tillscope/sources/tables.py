@@ -127,7 +127,6 @@ def write_layout(
     statistics. ``bucket_table`` adds hash buckets on the customer for joins without a shuffle; use it
     only where no customer is hot.
     """
-    spark = fact.sparkSession
     keys = ["txn_month", "customer_id", "merchant_id", "transaction_id"]
     rows = fact.withColumn("txn_month", F.substring(F.col("transaction_timestamp").cast("string"), 1, 7))
     if bucket_table:
@@ -140,10 +139,9 @@ def write_layout(
             .saveAsTable(bucket_table)
         )
         return path
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(files, *keys) if files else rows.repartitionByRange(*keys)
     (
-        rows.repartitionByRange(files, *keys)
-        .sortWithinPartitions("txn_month", "transaction_status", "customer_id", "merchant_id")
+        placed.sortWithinPartitions("txn_month", "transaction_status", "customer_id", "merchant_id")
         .write.partitionBy("txn_month")
         .parquet(path)
     )
