@@ -56,7 +56,7 @@ def scan_csv_inferred(star: Star) -> DataFrame:
 def scan_csv_typed(star: Star) -> DataFrame:
     spark = star.fact.sparkSession
     path = tables.export_csv(star.table("fact_transactions").select(*TABLES["fact_transactions"].names), fresh_path(spark, "fact"))
-    return tables.scan_csv(spark, path, TABLES["fact_transactions"])
+    return tables.scan_csv(spark, path, TABLES["fact_transactions"].schema)
 
 
 def scan_column_subset(star: Star) -> DataFrame:
@@ -109,7 +109,7 @@ def create_or_replace_table(star: Star) -> DataFrame:
 def export_and_read(star: Star) -> DataFrame:
     spark = star.fact.sparkSession
     path = tables.export_csv(star.table("dim_merchants").select(*TABLES["dim_merchants"].names), fresh_path(spark, "merchants"))
-    return tables.scan_csv(spark, path, TABLES["dim_merchants"])
+    return tables.scan_csv(spark, path, TABLES["dim_merchants"].schema)
 
 
 def table_preview(star: Star) -> DataFrame:

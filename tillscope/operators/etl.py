@@ -155,13 +155,16 @@ def scale_risk(name: str) -> Column:
 
 
 def _could_peak(w: PeakSegment) -> Column:
-    """What the feed itself says about the peak segment; only the city is still open."""
+    """What the feed itself says about the peak segment; only the city is still open.
+
+    The cheap tests come first, so that the time is parsed only where they pass.
+    """
     t = to_seconds("transaction_time")
     return F.coalesce(
-        (F.col("is_fraud") != 1)
+        (F.col("payment_channel") == w.channel)
+        & (F.col("is_fraud") != 1)
         & (F.month(t) == w.month)
-        & F.hour(t).between(w.first_hour, w.last_hour)
-        & (F.col("payment_channel") == w.channel),
+        & F.hour(t).between(w.first_hour, w.last_hour),
         F.lit(False),
     )
 

@@ -319,3 +319,8 @@ def report(df: DataFrame, top_k: int = 5, approx: bool = False) -> DataFrame:
             )
         )
     return union_all(parts)
+
+
+def save_report(lines: DataFrame, path: str) -> None:
+    """The report as tab-separated text, one line per metric."""
+    lines.select(F.concat_ws("\t", *[F.coalesce(c, F.lit("")) for c in lines.columns])).write.text(path)

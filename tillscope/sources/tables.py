@@ -21,9 +21,9 @@ def scan_csv_inferred(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, inferSchema=True)
 
 
-def scan_csv(spark: SparkSession, path: str, table: Table) -> DataFrame:
-    """CSV with a header into the declared columns; a malformed row fails the load."""
-    reader = spark.read.schema(table.schema).option("timestampNTZFormat", TIME_FORMAT)
+def scan_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """CSV with a header into declared columns; a malformed row or another header fails the load."""
+    reader = spark.read.schema(schema).option("timestampNTZFormat", TIME_FORMAT)
     return reader.csv(path, header=True, mode="FAILFAST", enforceSchema=False)
 
 
@@ -60,7 +60,7 @@ def export_star_csv(star: Star, folder: str) -> dict[str, str]:
 
 
 def load_star_csv(spark: SparkSession, folder: str) -> Star:
-    return star_from_tables({n: scan_csv(spark, f"{folder}/{n}", t) for n, t in TABLES.items()})
+    return star_from_tables({n: scan_csv(spark, f"{folder}/{n}", t.schema) for n, t in TABLES.items()})
 
 
 def write_star(star: Star, folder: str) -> str:
