@@ -246,7 +246,7 @@ def numbers(df: DataFrame, approx: bool = False) -> DataFrame | None:
         v = F.when(~F.isnan(v), v)
         aggs += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.avg(v).alias(f"m{i}")]
         if approx:
-            aggs.append(F.percentile_approx(v, 0.5, 10_000).alias(f"q{i}"))
+            aggs.append(F.percentile_approx(v, 0.5, 1_000).alias(f"q{i}"))
     lines = [
         F.struct(
             F.lit(c).alias("column_name"),
