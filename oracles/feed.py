@@ -175,6 +175,57 @@ SELECT column_name, cardinality, CAST(rnk AS INTEGER) AS value_rank, value, valu
 
 SQL = {name: raw(body) for name, body in BODIES.items()}
 
+
+def lines(section: str, query: str, metrics: dict[str, str], subject: str = "column_name") -> list[str]:
+    """One SELECT per metric over the oracle of a profile part."""
+    return [
+        f"SELECT '{section}' AS section, {subject} AS column_name, '{m}' AS metric, {value} AS value FROM ({query}) q"
+        for m, value in metrics.items()
+    ]
+
+
+def text(*names: str) -> dict[str, str]:
+    return {n: f"CAST({n} AS VARCHAR)" for n in names}
+
+
+def fixed(places: int, *names: str) -> dict[str, str]:
+    return {n: f"printf('%.{places}f', {n})" for n in names}
+
+
+ALL_DUPLICATES = raw(
+    f""", d AS (SELECT (SELECT count(*) FROM raw_feed) AS total_rows,
+  (SELECT count(*) FROM raw_feed) - (SELECT count(*) FROM (SELECT DISTINCT * FROM raw_feed) u) AS duplicate_rows)
+SELECT *, {pct('duplicate_rows', 'total_rows')} AS duplicate_pct FROM d"""
+)
+
+SQL["profile_report"] = union(
+    [
+        *lines("shape", SQL["profile_shape"], {"data_type": "data_type", **text("total_rows")}),
+        *lines("nulls", SQL["profile_nulls"], {**text("null_count"), **fixed(2, "null_pct")}),
+        *lines("duplicates", ALL_DUPLICATES, {**text("duplicate_rows"), **fixed(2, "duplicate_pct")}, "'*'"),
+        *lines("roles", SQL["profile_column_roles"], {"column_role": "column_role"}),
+        *lines(
+            "timestamps",
+            SQL["profile_timestamps"],
+            {**text("valid_count", "failed_count"), "earliest": "earliest", "latest": "latest"},
+        ),
+        *lines(
+            "categories",
+            SQL["profile_categories"],
+            text("value_count"),
+            "column_name || ' #' || value_rank || ' ' || coalesce(value, '<NULL>')",
+        ),
+        *lines(
+            "categories",
+            f"SELECT DISTINCT column_name, cardinality FROM ({SQL['profile_categories']}) c",
+            text("cardinality"),
+        ),
+        *lines(
+            "numbers", SQL["profile_numeric"], fixed(4, "min_value", "max_value", "mean_value", "median_value")
+        ),
+    ]
+)
+
 SQL.update(
     {
         "lookup_map": star(

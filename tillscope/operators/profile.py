@@ -266,10 +266,13 @@ def numbers(df: DataFrame, approx: bool = False) -> DataFrame | None:
 
 
 def _long(part: DataFrame, section: str, subject: Column, metrics: dict[str, str]) -> DataFrame:
-    """A profile part as (section, column_name, metric, value) lines."""
-    lines = [
-        F.struct(F.lit(m).alias("metric"), F.col(c).cast("string").alias("value")) for m, c in metrics.items()
-    ]
+    """A profile part as (section, column_name, metric, value) lines; doubles are shown with four decimals."""
+
+    def shown(name: str) -> Column:
+        real = isinstance(part.schema[name].dataType, DoubleType)
+        return F.format_string("%.4f", F.col(name)) if real else F.col(name).cast("string")
+
+    lines = [F.struct(F.lit(m).alias("metric"), shown(c).alias("value")) for m, c in metrics.items()]
     return part.select(
         F.lit(section).alias("section"), subject.alias("column_name"), F.inline(F.array(*lines))
     )
