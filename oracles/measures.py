@@ -89,9 +89,9 @@ SELECT customer_segment, payment_method_code,
     "measure_filter_override": f""", shown AS (
   SELECT transaction_status, gateway, count(*) AS n, sum(cents) AS c FROM fact_transactions GROUP BY 1, 2),
 lifted AS (SELECT gateway, {vol(OK)} AS ok_c, {n(BAD)} AS bad_n FROM fact_transactions GROUP BY 1)
-SELECT transaction_status, gateway, {money('c')} AS total_gross_volume_gmv, {money('ok_c')} AS successful_volume,
+SELECT transaction_status, s.gateway, {money('c')} AS total_gross_volume_gmv, {money('ok_c')} AS successful_volume,
   n AS total_transactions, bad_n AS failed_transactions, {safe('bad_n', 'n')} AS failure_rate
-  FROM shown JOIN lifted USING (gateway)""",
+  FROM shown s JOIN lifted l ON s.gateway IS NOT DISTINCT FROM l.gateway""",
     "measure_all_denominator": f"""{JOINED}, pm AS (
   SELECT merchant_category, merchant_id, sum(cents) AS loss FROM j WHERE {BAD} GROUP BY 1, 2),
 rm AS (SELECT *, rank() OVER (PARTITION BY merchant_category ORDER BY loss DESC) AS rnk FROM pm)
