@@ -14,6 +14,9 @@ from tillscope.session import settle
 
 DAYS_PER_MONTH = 30.4375
 DATE, NUMBER, TEXT = "date", "numeric", "text"
+# More aggregates than this make one generated method that the JVM no longer compiles; each pass reads its own
+# columns only.
+COLUMNS_PER_PASS = 8
 
 
 def column_roles(df: DataFrame) -> dict[str, str]:
@@ -232,32 +235,36 @@ def medians(df: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
-def numbers(df: DataFrame, approx: bool = False) -> DataFrame | None:
-    """Per numeric column: min, max, mean and median, to four decimals.
-
-    ``approx`` takes the median from a quantile sketch in the same pass.
-    """
-    names = of_role(df, NUMBER)
-    if not names:
-        return None
+def _ranges(df: DataFrame, names: list[str], approx: bool) -> DataFrame:
     aggs = []
     for i, c in enumerate(names):
-        v = F.col(c).cast("double")
-        v = F.when(~F.isnan(v), v)
-        aggs += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.avg(v).alias(f"m{i}")]
+        real = isinstance(df.schema[c].dataType, (DoubleType, FloatType))
+        v = F.when(~F.isnan(c), F.col(c)) if real else F.col(c)
+        aggs += [F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}"), F.avg(v).alias(f"mean{i}")]
         if approx:
-            aggs.append(F.percentile_approx(v, 0.5, 1_000).alias(f"q{i}"))
+            aggs.append(F.percentile_approx(v, 0.5, 1_000).alias(f"median{i}"))
+    parts = ["min", "max", "mean", *(["median"] if approx else [])]
     lines = [
         F.struct(
             F.lit(c).alias("column_name"),
-            round4(F.col(f"lo{i}")).alias("min_value"),
-            round4(F.col(f"hi{i}")).alias("max_value"),
-            round4(F.col(f"m{i}")).alias("mean_value"),
-            *([round4(F.col(f"q{i}")).alias("median_value")] if approx else []),
+            *[round4(F.col(f"{part}{i}").cast("double")).alias(f"{part}_value") for part in parts],
         )
         for i, c in enumerate(names)
     ]
-    base = _lines(df.agg(*aggs), lines)
+    return _lines(df.agg(*aggs), lines)
+
+
+def numbers(df: DataFrame, approx: bool = False) -> DataFrame | None:
+    """Per numeric column: min, max, mean and median, to four decimals.
+
+    ``approx`` takes the median from a quantile sketch in the same pass.
+    """
+    names = of_role(df, NUMBER)
+    if not names:
+        return None
+    base = union_all(
+        [_ranges(df, names[i : i + COLUMNS_PER_PASS], approx) for i in range(0, len(names), COLUMNS_PER_PASS)]
+    )
     if approx:
         return base
     return base.join(medians(df, names), "column_name", "left").withColumn(
