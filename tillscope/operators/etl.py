@@ -30,7 +30,8 @@ class PeakSegment(NamedTuple):
     failed_share: str = "0.35"
 
 
-BASE_FAILED_SHARE = "0.12"
+# Success and failure outside the peak segment.
+BASE_SHARES = ("0.88", "0.12")
 PEAK_REASON = 4
 FRAUD_REASON = 6
 
@@ -63,10 +64,13 @@ def round_to(name: str, scale: int, precision: int = 12) -> Column:
 
 def assign(df: DataFrame, key: str, salt: str, **columns: tuple) -> DataFrame:
     """Add weighted hash draws of the key; ``columns`` maps a name to (choices, weights), at most four."""
-    out = df.withColumn("_digest", key_digest(F.col(key), salt))
-    for slot, (name, (choices, weights)) in enumerate(columns.items()):
-        out = out.withColumn(name, weighted_choice(draw(F.col("_digest"), slot), choices, weights))
-    return out.drop("_digest")
+    slots = {f"_draw{slot}": draw(F.col("_digest"), slot) for slot in range(len(columns))}
+    picked = {
+        name: weighted_choice(F.col(f"_draw{slot}"), choices, weights)
+        for slot, (name, (choices, weights)) in enumerate(columns.items())
+    }
+    drawn = df.withColumn("_digest", key_digest(F.col(key), salt)).withColumns(slots)
+    return drawn.withColumns(picked).drop("_digest", *slots)
 
 
 def equal_weights(n: int) -> list[str]:
@@ -190,22 +194,23 @@ def label_status(marked: DataFrame, w: PeakSegment = PeakSegment()) -> DataFrame
     Fraud is blocked; the peak segment fails by timeout at its own share; the rest fails at the base share for
     weighted reasons. One digest per row gives all three draws.
     """
-    fraud, peak = F.col("is_fraud") == 1, F.col("is_peak")
-    failed = F.when(
-        peak, weighted_choice(F.col("_luck"), [True, False], [w.failed_share, "1"])
-    ).otherwise(weighted_choice(F.col("_luck"), [False, True], ["0.88", BASE_FAILED_SHARE]))
+    fraud, peak, luck = F.col("is_fraud") == 1, F.col("is_peak"), F.col("_draw1")
     digest = F.col("_digest")
-    gateways, reasons = split(schemas.GATEWAYS), split(schemas.BASE_REASONS)
+    failed = F.when(peak, weighted_choice(luck, [True, False], [w.failed_share, "1"])).otherwise(
+        weighted_choice(luck, [False, True], BASE_SHARES)
+    )
+    # Each draw is a column of its own, so that a chain of comparisons does not compute it again.
+    drawn = marked.withColumn("_digest", key_digest(F.col("transaction_id"), "transaction")).withColumns(
+        {f"_draw{slot}": draw(digest, slot) for slot in range(3)}
+    )
     return (
-        marked.withColumn("_digest", key_digest(F.col("transaction_id"), "transaction"))
-        .withColumns(
+        drawn.withColumns(
             {
-                "gateway": weighted_choice(draw(digest, 0), *gateways),
-                "_luck": draw(digest, 1),
-                "_reason": weighted_choice(draw(digest, 2), *reasons),
+                "gateway": weighted_choice(F.col("_draw0"), *split(schemas.GATEWAYS)),
+                "_failed": failed,
+                "_reason": weighted_choice(F.col("_draw2"), *split(schemas.BASE_REASONS)),
             }
         )
-        .withColumn("_failed", failed)
         .withColumns(
             {
                 "transaction_status": F.when(fraud, "FRAUD_BLOCKED")
@@ -217,7 +222,7 @@ def label_status(marked: DataFrame, w: PeakSegment = PeakSegment()) -> DataFrame
                 .otherwise(F.col("_reason")),
             }
         )
-        .drop("_digest", "_luck", "_reason", "_failed")
+        .drop("_digest", "_draw0", "_draw1", "_draw2", "_reason", "_failed")
     )
 
 
