@@ -422,7 +422,22 @@ def entry(spark: SparkSession) -> DataFrame:
     return queries()["merchant_pareto"](spark, SMALL)
 
 
+def training_data():
+    """The queries of the training-data operators, or None where that subpackage is not there."""
+    try:
+        import tillscope.llm.queries as found
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("tillscope.llm", "tillscope.llm.queries", "corpus_pipeline"):
+            raise
+        return None
+    return found
+
+
 def queries() -> dict[str, Query]:
+    return analytics() | (found.queries() if (found := training_data()) else {})
+
+
+def analytics() -> dict[str, Query]:
     on_stars = {**LOADS, **STAR_STEPS, **REPORTS, **MEASURES, **STATISTICS, **DIGESTS}
     return {name: on_star(q) for name, q in on_stars.items()} | {name: on_raw(q) for name, q in RAW_STEPS.items()}
 
@@ -430,4 +445,4 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     from oracles import all_sql
 
-    return all_sql()
+    return all_sql() | (found.oracle_sql() if (found := training_data()) else {})
