@@ -4,17 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillscope.llm import quality_rules, simhash
+from tillscope.llm import decontaminate, mixing, quality_rules, simhash, token_blocks, token_counts
 from tillscope.session import settle
 
+TOKENIZER = "byte_bpe_50k.json"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_blocks.written_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.with_leaks(docs, _table(spark, sf_dir, "benchmark")).where("size(leaks) > 0")
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.counted(docs, public_tokenizers.path(TOKENIZER)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = settle(quality_rules.measured(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).drop("text"))
     cuts = quality_rules.cutoffs(counted, _table(spark, sf_dir, "labels"))
@@ -22,6 +40,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(counted, cuts).select("doc_id", *shown)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = docs.select("doc_id", simhash.fingerprints(F.col("text")).alias("fp"))
@@ -29,8 +51,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = (op1_token_blocks, op2_decontamination, op5_token_counts, op6_quality_rules, op7_mixing, op10_simhash, pipeline)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_quality_rules": op6_quality_rules, "op10_simhash": op10_simhash}
+    return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
