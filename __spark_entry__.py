@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType, TimestampNTZType
+from pyspark.sql.types import DecimalType, StringType, TimestampNTZType
 
+from tillscope.functions.exact import significant
 from tillscope.operators import etl, profile, quality, stats
 from tillscope.plans import digests, measures, reports, suite
 from tillscope.schemas import STATUSES, TABLES
@@ -107,9 +108,22 @@ def create_or_replace_table(star: Star) -> DataFrame:
 
 
 def export_and_read(star: Star) -> DataFrame:
+    """All five tables exported and read back: rows, sum of the key and characters of the texts of each."""
     spark = star.fact.sparkSession
-    path = tables.export_csv(star.table("dim_merchants").select(*TABLES["dim_merchants"].names), fresh_path(spark, "merchants"))
-    return tables.scan_csv(spark, path, TABLES["dim_merchants"].schema)
+    folder = fresh_path(spark, "csv")
+    tables.export_star_csv(star, folder)
+    loaded = tables.load_star_csv(spark, folder).tables()
+
+    def read(name: str, df: DataFrame) -> DataFrame:
+        texts = [F.sum(F.length(f.name)) for f in df.schema if isinstance(f.dataType, StringType)]
+        return df.agg(
+            F.lit(name).alias("table_name"),
+            F.count("*").alias("exported_rows"),
+            F.sum(TABLES[name].names[0]).cast("bigint").alias("key_sum"),
+            sum(texts, F.lit(0)).cast("bigint").alias("text_chars"),
+        )
+
+    return quality.union_all([read(name, df) for name, df in loaded.items()])
 
 
 def table_preview(star: Star) -> DataFrame:
@@ -230,6 +244,11 @@ def fact_project(raw: DataFrame) -> DataFrame:
     return etl.build_fact(raw, etl.build_customers(raw), etl.payment_methods(raw.sparkSession))
 
 
+def with_repeats(raw: DataFrame) -> DataFrame:
+    """The whole feed with every fiftieth transaction in it twice, so that there are duplicates to find."""
+    return raw.unionByName(raw.where("transaction_id % 50 = 0"))
+
+
 RAW_STEPS = {
     "dim_customers_build": etl.build_customers,
     "surrogate_labels": surrogate_labels,
@@ -244,9 +263,7 @@ RAW_STEPS = {
     "fact_project": fact_project,
     "profile_shape": profile.shape,
     "profile_nulls": profile.nulls,
-    "profile_duplicates": lambda raw: profile.duplicates(
-        raw.select("customer_id", "payment_channel", "device_type", "is_international")
-    ),
+    "profile_duplicates": lambda raw: profile.duplicates(with_repeats(raw)),
     "profile_column_roles": profile.roles,
     "profile_timestamps": profile.timestamps,
     "profile_categories": profile.categories,
@@ -381,15 +398,15 @@ def chi_squares(star: Star) -> DataFrame:
     return quality.union_all(tests).select("test", "n", "chi2", "dof")
 
 
-def to_eight(df: DataFrame, *names: str) -> DataFrame:
-    """Tail probabilities to eight decimals; the two engines' exponentials differ in the last bits."""
-    return df.withColumns({n: F.floor(F.col(n) * 1e8 + 0.5).cast("double") / 1e8 for n in names})
+def to_six(df: DataFrame, *names: str) -> DataFrame:
+    """Tail probabilities to six significant digits; the two engines' exponentials differ in the last bits."""
+    return df.withColumns({n: significant(F.col(n)) for n in names})
 
 
 def z_p_values(star: Star) -> DataFrame:
     tested = stats.z_p_values(stats.two_proportion_z(gateway_counts(star)))
     shown = tested.select("gateway", "payment_method_id", "z", "p_one_tailed", "p_two_tailed", "decision")
-    return to_eight(shown, "p_one_tailed", "p_two_tailed")
+    return to_six(shown, "p_one_tailed", "p_two_tailed")
 
 
 STATISTICS = {
@@ -402,7 +419,7 @@ STATISTICS = {
     "crosstab_margins": lambda s: method_table(s, margins=True),
     "expected_frequencies": expected_frequencies,
     "chi_square_independence": chi_squares,
-    "chi_square_p_value": lambda s: to_eight(stats.chi_square_p_value(chi_squares(s)), "p_value"),
+    "chi_square_p_value": lambda s: to_six(stats.chi_square_p_value(chi_squares(s)), "p_value"),
 }
 
 

@@ -1,5 +1,7 @@
 """Oracles of scans, sinks, loads and audits."""
 
+from pyspark.sql.types import StringType
+
 from oracles.star import money, star
 from tillscope.schemas import TABLES
 
@@ -82,6 +84,18 @@ def catalog() -> str:
     )
 
 
+def exported() -> str:
+    """Rows, key sum and text length of each table."""
+    parts = []
+    for name, table in TABLES.items():
+        chars = " + ".join(f"sum(length({c.name}))" for c in table.columns if isinstance(c.type, StringType))
+        parts.append(
+            f"SELECT '{name}' AS table_name, count(*) AS exported_rows, CAST(sum({table.names[0]}) AS BIGINT) AS key_sum,"
+            f" CAST({chars} AS BIGINT) AS text_chars FROM {name}"
+        )
+    return "\nUNION ALL ".join(parts)
+
+
 BODIES = {
     "scan_csv_inferred": """SELECT * REPLACE (CAST(customer_id AS INTEGER) AS customer_id)
   FROM (SELECT """ + CUSTOMER_COLUMNS + " FROM dim_customers) t",
@@ -96,7 +110,7 @@ UNION ALL SELECT 'failure_reason', failure_reason_id, failure_reason_code, failu
   (SELECT count(*) FROM fact_transactions f WHERE f.failure_reason_id = r.failure_reason_id)
   FROM dim_failure_reasons r""",
     "create_or_replace_table": f"SELECT {MERCHANT_COLUMNS} FROM dim_merchants",
-    "export_csv": f"SELECT {MERCHANT_COLUMNS} FROM dim_merchants",
+    "export_csv": exported(),
     "table_preview": f"""SELECT {FACT_COLUMNS} FROM fact_transactions
   ORDER BY ALL NULLS FIRST LIMIT 5""",
     "schema_catalog": catalog(),

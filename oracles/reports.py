@@ -45,12 +45,12 @@ BODIES = {
   {pct(OK, N)} AS success_rate_pct, {pct(BAD, N)} AS failure_rate_pct, {pct(FRAUD, N)} AS fraud_rate_pct
   FROM fact_transactions""",
     "channel_performance": f"""SELECT payment_method_name, category_type, {N} AS total_attempts,
-  {money('sum(cents)')} AS total_volume_inr, {avg_money('sum(cents)', N)} AS avg_ticket_size, {OK} AS success_count,
+  {money('sum(cents)')} AS total_volume_inr, {avg_money('sum(cents)', 'count(cents)')} AS avg_ticket_size, {OK} AS success_count,
   {BAD} AS failed_count, {pct(OK, N)} AS success_rate_pct, {pct(BAD, N)} AS failure_rate_pct
   FROM fact_transactions JOIN dim_payment_methods USING (payment_method_id)
   GROUP BY payment_method_name, category_type""",
     "segment_matrix": f"""SELECT customer_segment, count(DISTINCT customer_id) AS total_customers,
-  {N} AS total_transactions, {money('sum(cents)')} AS total_spend_inr, {avg_money('sum(cents)', N)} AS avg_txn_size,
+  {N} AS total_transactions, {money('sum(cents)')} AS total_spend_inr, {avg_money('sum(cents)', 'count(cents)')} AS avg_txn_size,
   {pct(BAD, N)} AS segment_failure_rate_pct
   FROM fact_transactions JOIN dim_customers USING (customer_id) GROUP BY customer_segment""",
     "offhours_fraud": f"""SELECT {WINDOW} AS time_window, {N} AS total_transactions,
@@ -127,18 +127,18 @@ SELECT customer_id, customer_name, customer_segment, city, {money('c')} AS total
     "status_summary_shares": f"""SELECT transaction_status, {N} AS transaction_count,
   {pct(N, '(SELECT count(*) FROM fact_transactions)')} AS count_pct, {money('sum(cents)')} AS total_volume_inr,
   {pct('sum(cents)', '(SELECT sum(cents) FROM fact_transactions)')} AS volume_pct,
-  {avg_money('sum(cents)', N)} AS avg_ticket_size,
+  {avg_money('sum(cents)', 'count(cents)')} AS avg_ticket_size,
   {avg_tenths('sum(risk_tenths)', 'count(risk_tenths)')} AS avg_risk_score
   FROM fact_transactions GROUP BY transaction_status""",
     "status_volume": f"""SELECT transaction_status, {N} AS transaction_count, {money('sum(cents)')} AS total_volume_inr,
-  {avg_money('sum(cents)', N)} AS avg_ticket_size FROM fact_transactions GROUP BY transaction_status""",
+  {avg_money('sum(cents)', 'count(cents)')} AS avg_ticket_size FROM fact_transactions GROUP BY transaction_status""",
     "top_failure_reasons": f""", lost AS (
-  SELECT failure_reason_id, failure_reason_code, failure_category, count(*) AS n, sum(cents) AS c
+  SELECT failure_reason_id, failure_reason_code, failure_category, count(*) AS n, sum(cents) AS c, count(cents) AS cn
   FROM fact_transactions JOIN dim_failure_reasons USING (failure_reason_id)
   WHERE transaction_status IN ('FAILED', 'FRAUD_BLOCKED') OR failure_reason_id > 0 GROUP BY ALL)
 SELECT failure_reason_id, failure_reason_code, failure_category, n AS failed_txns_count,
   {money('c')} AS lost_volume_inr, {pct('c', '(SELECT sum(c) FROM lost)')} AS pct_of_failed_volume,
-  {avg_money('c', 'n')} AS avg_lost_ticket_size FROM lost ORDER BY c DESC, failure_reason_id LIMIT 5""",
+  {avg_money('c', 'cn')} AS avg_lost_ticket_size FROM lost ORDER BY c DESC, failure_reason_id LIMIT 5""",
     "top_merchants_by_loss": f"""SELECT merchant_id, merchant_name, merchant_category, city, {N} AS failed_txn_count,
   {money('sum(cents)')} AS total_lost_revenue_inr FROM fact_transactions JOIN dim_merchants USING (merchant_id)
   WHERE transaction_status = 'FAILED' GROUP BY ALL ORDER BY sum(cents) DESC, merchant_id LIMIT 10""",

@@ -34,11 +34,16 @@ def upper_tail(z: str) -> str:
         f"list_sum(list_transform(range(0, 200), lambda i: exp((2 * i + 1) * ln(abs({z})) - (i + 1) * ln(2e0)"
         f" - lgamma(i + 1.5e0) + ln(pi()) / 2)))"
     )
-    return f"(CASE WHEN {z} = 0 THEN 0.5 ELSE 0.5 - sign({z}) * exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * {series} END)"
+    # Far out the difference from one half cancels; the continued fraction of the tail keeps all digits.
+    terms = f"list_concat([abs({z})], list_transform(range(0, 120), lambda i: 120e0 - i))"
+    tail = f"exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) / list_reduce({terms}, lambda a, k: abs({z}) + k / a)"
+    near = f"0.5 - sign({z}) * exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * {series}"
+    return f"(CASE WHEN {z} = 0 THEN 0.5 WHEN {z} > 2.5 THEN {tail} WHEN {z} < -2.5 THEN 1 - {tail} ELSE {near} END)"
 
 
-def round8(p: str) -> str:
-    return f"floor(({p}) * 1e8 + 5e-1) / 1e8"
+def round6(p: str) -> str:
+    """Six significant digits."""
+    return f"CAST(format('{{:.5e}}', {p}) AS DOUBLE)"
 
 
 OUTCOMES = """, outcomes AS (
@@ -109,7 +114,7 @@ SELECT 'peak' AS segment, count(*) FILTER (WHERE peak AND transaction_status = '
     "diff_confidence_interval": f"{COUNTS}{INTERVAL}\nSELECT * EXCLUDE (se_unpooled), {BOUNDS} FROM wide",
     "z_p_values": f"""{COUNTS}, tails AS (SELECT gateway, payment_method_id, z, {upper_tail('z')} AS p,
   2 * {upper_tail('abs(z)')} AS pp FROM tested)
-SELECT gateway, payment_method_id, z, {round8('p')} AS p_one_tailed, {round8('pp')} AS p_two_tailed,
+SELECT gateway, payment_method_id, z, {round6('p')} AS p_one_tailed, {round6('pp')} AS p_two_tailed,
   CASE WHEN p < 0.05 THEN 'REJECT H0' ELSE 'FAIL TO REJECT H0' END AS decision FROM tails""",
     "crosstab": f"{OUTCOMES}\nSELECT payment_method_name, {STATUS_COLUMNS} FROM outcomes GROUP BY payment_method_name",
     "crosstab_margins": f"""{OUTCOMES}
@@ -120,7 +125,7 @@ SELECT coalesce(payment_method_name, 'Total') AS payment_method_name, {STATUS_CO
 SELECT payment_method_name, {expected('SUCCESS')}, {expected('FAILED')}, {expected('FRAUD_BLOCKED')} FROM m""",
     "chi_square_independence": f"{CELLS}\nSELECT test, n, chi2, dof FROM chi",
     "chi_square_p_value": f"""{CELLS}, tail AS (SELECT *, {CHI_TAIL} AS p FROM chi)
-SELECT test, n, chi2, dof, {round8('p')} AS p_value,
+SELECT test, n, chi2, dof, {round6('p')} AS p_value,
   CASE WHEN p < 0.05 THEN 'REJECT H0' ELSE 'FAIL TO REJECT H0' END AS decision FROM tail""",
     "digest_top_share": f"""{reports.LEAK}, best AS (SELECT * FROM leak ORDER BY c DESC, failure_reason_code LIMIT 1)
 SELECT failure_reason_code AS top_reason, {money('c')} AS top_amount_inr,

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 from tiny import customer, merchant, tiny_star, txn
 
 from tillscope.operators.prefix import running_total
-from tillscope.plans import digests, reports, suite
+from tillscope.plans import digests, measures, reports, suite
 
 D = Decimal
 
@@ -154,3 +154,24 @@ def test_suite_exports_readable_files(spark, star, tmp_path):
 def test_digest_of_any_report(star):
     row = digests.default(reports.gateway_sla(star)).first()
     assert row.main_column == "total_transactions" and row.total_value == 6000.0
+
+
+def test_averages_are_over_present_amounts(spark):
+    star = tiny_star(spark, [txn(1), txn(2, amount=None), txn(3, status="FAILED"), txn(4, status="FAILED", amount=None)])
+    hundred = Decimal("100.00")
+    assert {r.avg_ticket_size for r in reports.status_volume(star).collect()} == {hundred}
+    assert {r.avg_ticket_size for r in reports.status_summary_shares(star).collect()} == {hundred}
+    assert {r.avg_ticket_size for r in reports.channel_performance(star).collect()} == {hundred}
+    assert {r.avg_txn_size for r in reports.segment_matrix(star).collect()} == {hundred}
+    assert {r.avg_lost_ticket_size for r in reports.top_failure_reasons(star).collect()} == {hundred}
+    assert measures.evaluate(star, ["average_ticket_size"], []).first()[0] == 100.0
+
+
+def test_top_share_of_no_loss_is_zero(spark):
+    star = tiny_star(spark, [txn(1, status="FAILED", amount="0.00")])
+    assert digests.top_share(reports.leakage_count_share(star)).first().top_pct == 0
+
+
+def test_pareto_ranks_ids_and_joins_names_after_the_cut(spark, star):
+    ranked = reports._losses(star).columns
+    assert ranked == ["merchant_id", "failed_txn_count", "loss_cents"]

@@ -107,3 +107,21 @@ def test_peak_counts_leave_unknown_customers_in_the_rest(spark):
     r = stats.peak_counts(tiny_star(spark, rows, [customer(1, "Tier-2 Cities")])).first()
     assert (r.x1, r.n1, r.x2, r.n2) == (1, 2, 1, 2)
     assert not math.isnan(r.x1)
+
+
+def test_chi_square_of_large_counts(spark):
+    from tillscope.operators import stats as s
+
+    rows = spark.createDataFrame([("a", 400_000_000_000, 600_000_000_000), ("b", 600_000_000_000, 400_000_000_000)], "r string, x long, y long")
+    assert s.chi_square(rows, ["x", "y"]).first().chi2 == pytest.approx(8e10, rel=1e-12)
+
+
+def test_small_probabilities_keep_their_digits(spark):
+    from pyspark.sql import functions as F
+
+    from tillscope.functions.exact import round4, significant
+
+    got = spark.range(1).select(
+        significant(F.lit(7.838391234e-16)).alias("p"), significant(F.lit(None).cast("double")).alias("none"), round4(F.lit(1.5e17)).alias("big")
+    ).first()
+    assert (got.p, got.none, got.big) == (7.83839e-16, None, 1.5e17)

@@ -62,16 +62,28 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+NO_FRACTION = 9e15  # doubles of at least 2**53 are whole numbers
+
+
+def on_grid(value: Column) -> Column:
+    """A double rounded half up to a whole decimal; larger ones than a bigint holds are whole already."""
+    return F.when(F.abs(value) < NO_FRACTION, F.floor(value + 0.5).cast("decimal(38,0)")).otherwise(value.cast("decimal(38,0)"))
+
+
 def fixed_sum(value: Column, digits: int = 9) -> Column:
     """Sum of doubles on a decimal grid of ``digits`` places: the same total for any partition order."""
     scale = float(10**digits)
-    grid = F.floor(value * scale + 0.5).cast("decimal(28,0)")
-    return F.sum(grid).cast("double") / scale
+    return F.sum(on_grid(value * scale)).cast("double") / scale
 
 
 def round4(value: Column) -> Column:
-    """Double rounded to four decimals, half up."""
-    return F.floor(value * 10000.0 + 0.5).cast("double") / 10000.0
+    """Double rounded to four decimals, half up; one too large for four decimals stays as it is."""
+    return F.when(F.abs(value) < NO_FRACTION / 1e4, F.floor(value * 10000.0 + 0.5).cast("double") / 10000.0).otherwise(value)
+
+
+def significant(value: Column, digits: int = 6) -> Column:
+    """Double to so many significant digits, so that the smallest probabilities keep theirs."""
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits - 1}e", value).cast("double"))
 
 
 DRAW_RANGE = 2**32

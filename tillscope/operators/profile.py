@@ -83,22 +83,13 @@ def nulls(df: DataFrame) -> DataFrame:
 def duplicates(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each set of equal rows.
 
-    Only a 64-bit hash per row is shuffled at first. The rows whose hash occurs more than once are then
-    compared whole, so different rows that share a hash do not count as duplicates.
+    One scan and one shuffle on all columns; equal rows fold on the map side. Nulls are equal to each other.
     """
-    columns = [F.col(c) for c in df.columns]
-    hashed = df.withColumn("_hash", F.xxhash64(*columns))
-    per_hash = hashed.groupBy("_hash").agg(F.count("*").alias("n"))
-    candidates = hashed.join(per_hash.where("n > 1").select("_hash"), "_hash", "left_semi")
-    extra = candidates.groupBy(*df.columns).agg((F.count("*") - 1).alias("extra"))
     none = F.lit(0).cast("bigint")
     return (
-        per_hash.select(F.col("n").alias("total_rows"), none.alias("duplicate_rows"))
-        .unionByName(extra.select(none.alias("total_rows"), F.col("extra").alias("duplicate_rows")))
-        .agg(
-            F.coalesce(F.sum("total_rows"), none).alias("total_rows"),
-            F.coalesce(F.sum("duplicate_rows"), none).alias("duplicate_rows"),
-        )
+        df.groupBy(*df.columns)
+        .agg(F.count("*").alias("_n"))
+        .agg(F.coalesce(F.sum("_n"), none).alias("total_rows"), F.coalesce(F.sum(F.col("_n") - 1), none).alias("duplicate_rows"))
         .withColumn("duplicate_pct", pct(F.col("duplicate_rows"), F.col("total_rows")))
     )
 

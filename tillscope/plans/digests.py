@@ -30,7 +30,11 @@ def top_share(reasons: DataFrame) -> DataFrame:
     ).withColumn(
         "top_pct",
         (
-            half_up(to_cents(F.col("top_amount_inr")), to_cents(F.col("total_loss_inr")), 1000).cast("decimal(20,0)") / 10
+            F.coalesce(
+                half_up(to_cents(F.col("top_amount_inr")), to_cents(F.col("total_loss_inr")), 1000).cast("decimal(20,0)"),
+                F.when(F.col("total_loss_inr") == 0, F.lit(0).cast("decimal(20,0)")),
+            )
+            / 10
         ).cast("decimal(20,1)"),
     )
 

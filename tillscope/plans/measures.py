@@ -92,6 +92,7 @@ FAILED_ROWS = Term("failed_rows", "rows", {STATUS: equals("FAILED")})
 FRAUD_ROWS = Term("fraud_rows", "rows", {STATUS: equals("FRAUD_BLOCKED")})
 RISK = Term("risk", "risk")
 RISK_ROWS = Term("risk_rows", "risk_rows")
+PRICED_ROWS = Term("priced_rows", "priced_rows")
 INFRA = Term("infra", "volume", {CATEGORY: equals("Infrastructure")})
 TIMEOUT = Term("timeout", "volume", {REASON: equals("GATEWAY_TIMEOUT")})
 
@@ -174,8 +175,8 @@ MEASURES: dict[str, Measure] = {
     "fraud_rate": _rate("Fraud Rate %", FRAUD_ROWS, ALL_ROWS),
     "average_ticket_size": Measure(
         "Average Ticket Size",
-        (GMV, ALL_ROWS),
-        lambda: F.try_divide(_t(GMV).cast("double"), _t(ALL_ROWS).cast("double")) / 100.0,
+        (GMV, PRICED_ROWS),
+        lambda: F.try_divide(_t(GMV).cast("double"), _t(PRICED_ROWS).cast("double")) / 100.0,
     ),
     "average_risk_score": Measure(
         "Average Risk Score",
@@ -292,6 +293,7 @@ KIND_VALUE = {
     "rows": lambda: F.lit(1).cast("bigint"),
     "risk": lambda: (F.col("risk_score") * 10).cast("bigint"),
     "risk_rows": lambda: F.when(F.col("risk_score").isNotNull(), F.lit(1).cast("bigint")),
+    "priced_rows": lambda: F.when(F.col("amount_cents").isNotNull(), F.lit(1).cast("bigint")),
 }
 
 # Rows that pass every slicer: a group is shown only where it has one.
@@ -362,7 +364,7 @@ def _fold(star: Star, terms: Sequence[Term], keys: Sequence[str], where: Filters
 
 def _fill_rows(df: DataFrame, terms: Sequence[Term]) -> DataFrame:
     """Counts of no rows are 0; sums of no rows stay missing."""
-    return df.na.fill(0, [SHOWN, *[t.name for t in terms if t.kind in ("rows", "risk_rows")]])
+    return df.na.fill(0, [SHOWN, *[t.name for t in terms if t.kind in ("rows", "risk_rows", "priced_rows")]])
 
 
 def replace_filters(df: DataFrame, terms: Sequence[Term], keys: Sequence[str]) -> DataFrame:
@@ -372,7 +374,12 @@ def replace_filters(df: DataFrame, terms: Sequence[Term], keys: Sequence[str]) -
         lifted = [k for k in keys if k in t.filters]
         if lifted:
             rest = [k for k in keys if k not in lifted]
-            columns[t.name] = F.sum(t.name).over(Window.partitionBy(*rest)).alias(t.name)
+            if rest:
+                columns[t.name] = F.sum(t.name).over(Window.partitionBy(*rest)).alias(t.name)
+            else:
+                whole = df.agg(F.lit(0).alias("_one"), F.sum(t.name).alias(f"_{t.name}"))  # one row
+                df = df.withColumn("_one", F.lit(0)).join(F.broadcast(whole), "_one").drop("_one")
+                columns[t.name] = F.col(f"_{t.name}").alias(t.name)
     return df.select(*keys, *columns.values(), SHOWN).where(F.col(SHOWN) > 0 if keys else F.lit(True))
 
 

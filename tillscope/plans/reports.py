@@ -23,6 +23,11 @@ DAY_HOURS = "Standard Operating Hours (6 AM - 11 PM)"
 TIER_NAMES = ("Tier 1 - Critical Churn Risk", "Tier 2 - Severe Churn Risk", "Tier 3 - Moderate Churn Risk")
 
 
+def priced() -> Column:
+    """Rows that have an amount; an average is over these."""
+    return F.count("amount_cents")
+
+
 def rows() -> Column:
     return F.count("*")
 
@@ -103,6 +108,7 @@ def channel_performance(star: Star) -> DataFrame:
     by_id = star.fact.groupBy("payment_method_id").agg(
         rows().alias("n"),
         cents().alias("c"),
+        priced().alias("cn"),
         rows_where(status_is("SUCCESS")).alias("sn"),
         rows_where(is_failed()).alias("fn"),
     )
@@ -110,13 +116,13 @@ def channel_performance(star: Star) -> DataFrame:
     return (
         by_id.join(star.methods, "payment_method_id")
         .groupBy("payment_method_name", "category_type")
-        .agg(*add_up("n", "c", "sn", "fn"))
+        .agg(*add_up("n", "c", "cn", "sn", "fn"))
         .select(
             "payment_method_name",
             "category_type",
             n.alias("total_attempts"),
             money("c", "total_volume_inr"),
-            avg_money(F.col("c"), n).alias("avg_ticket_size"),
+            avg_money(F.col("c"), F.col("cn")).alias("avg_ticket_size"),
             F.col("sn").alias("success_count"),
             F.col("fn").alias("failed_count"),
             pct(F.col("sn"), n).alias("success_rate_pct"),
@@ -129,19 +135,19 @@ def channel_performance(star: Star) -> DataFrame:
 def segment_matrix(star: Star) -> DataFrame:
     """Distinct customers need no distinct aggregate: there is one grouped row per customer."""
     by_customer = star.fact.groupBy("customer_id").agg(
-        rows().alias("n"), cents().alias("c"), rows_where(is_failed()).alias("fn")
+        rows().alias("n"), cents().alias("c"), priced().alias("cn"), rows_where(is_failed()).alias("fn")
     )
     n = F.col("n")
     return (
         by_customer.join(star.customers.select("customer_id", "customer_segment"), "customer_id")
         .groupBy("customer_segment")
-        .agg(rows().alias("total_customers"), *add_up("n", "c", "fn"))
+        .agg(rows().alias("total_customers"), *add_up("n", "c", "cn", "fn"))
         .select(
             "customer_segment",
             "total_customers",
             n.alias("total_transactions"),
             money("c", "total_spend_inr"),
-            avg_money(F.col("c"), n).alias("avg_txn_size"),
+            avg_money(F.col("c"), F.col("cn")).alias("avg_txn_size"),
             pct(F.col("fn"), n).alias("segment_failure_rate_pct"),
         )
         .orderBy(F.desc("total_spend_inr"), "customer_segment")
@@ -250,24 +256,29 @@ def category_fraud(star: Star) -> DataFrame:
 MERCHANT_NAMES = ("merchant_id", "merchant_name", "merchant_category", "city")
 
 
-def _merchant_losses(star: Star) -> DataFrame:
-    """Failed rows and cents per merchant, with the merchant's names."""
-    losses = (
+def _losses(star: Star) -> DataFrame:
+    """Failed rows and cents per merchant id."""
+    return (
         star.fact.where(is_failed())
         .groupBy("merchant_id")
         .agg(rows().alias("failed_txn_count"), cents().alias("loss_cents"))
     )
-    return losses.join(star.merchants.select(*MERCHANT_NAMES), "merchant_id")
+
+
+def _merchant_losses(star: Star) -> DataFrame:
+    """Failed rows and cents per merchant, with the merchant's names."""
+    return _losses(star).join(star.merchants.select(*MERCHANT_NAMES), "merchant_id")
 
 
 def merchant_pareto(star: Star, cut_pct: int = 80, include_crossing: bool = False) -> DataFrame:
     """Merchants by failed volume up to ``cut_pct`` percent of the whole loss.
 
     The cut is made on the rounded cumulative percent, so the merchant whose loss crosses it is left out;
-    ``include_crossing`` keeps it.
+    ``include_crossing`` keeps it. Ids and sums alone are ranked (``running_total`` writes them when this is called);
+    names are joined to the merchants kept.
     """
     ranked = running_total(
-        _merchant_losses(star),
+        _losses(star).join(star.merchants.select("merchant_id"), "merchant_id", "left_semi"),
         order=[F.desc("loss_cents"), F.asc("merchant_id")],
         value="loss_cents",
         running="running_cents",
@@ -280,6 +291,7 @@ def merchant_pareto(star: Star, cut_pct: int = 80, include_crossing: bool = Fals
         keep = keep | (before < cut_pct)
     return (
         ranked.where(keep)
+        .join(star.merchants.select(*MERCHANT_NAMES), "merchant_id")
         .select(
             "merchant_rank",
             *MERCHANT_NAMES,
@@ -500,6 +512,7 @@ def status_summary_shares(star: Star) -> DataFrame:
         .agg(
             rows().alias("n"),
             cents().alias("c"),
+            priced().alias("cn"),
             F.sum(risk_tenths()).alias("r"),
             F.count("risk_score").alias("rn"),
         )
@@ -509,7 +522,7 @@ def status_summary_shares(star: Star) -> DataFrame:
             pct(F.col("n"), F.sum("n").over(whole)).alias("count_pct"),
             money("c", "total_volume_inr"),
             pct(F.col("c"), F.sum("c").over(whole)).alias("volume_pct"),
-            avg_money(F.col("c"), F.col("n")).alias("avg_ticket_size"),
+            avg_money(F.col("c"), F.col("cn")).alias("avg_ticket_size"),
             avg_tenths(F.col("r"), F.col("rn")).alias("avg_risk_score"),
         )
         .orderBy(F.desc("transaction_count"), "transaction_status")
@@ -519,12 +532,12 @@ def status_summary_shares(star: Star) -> DataFrame:
 def status_volume(star: Star) -> DataFrame:
     return (
         star.fact.groupBy("transaction_status")
-        .agg(rows().alias("transaction_count"), cents().alias("c"))
+        .agg(rows().alias("transaction_count"), cents().alias("c"), priced().alias("cn"))
         .select(
             "transaction_status",
             "transaction_count",
             money("c", "total_volume_inr"),
-            avg_money(F.col("c"), F.col("transaction_count")).alias("avg_ticket_size"),
+            avg_money(F.col("c"), F.col("cn")).alias("avg_ticket_size"),
         )
         .orderBy(F.desc("total_volume_inr"), "transaction_status")
     )
@@ -533,7 +546,7 @@ def status_volume(star: Star) -> DataFrame:
 def top_failure_reasons(star: Star, n: int = 5) -> DataFrame:
     """The reasons with the largest lost volume; shares are of all reasons, before the cut to ``n``."""
     lost = F.col("transaction_status").isin("FAILED", "FRAUD_BLOCKED") | is_leakage()
-    by_id = star.fact.where(lost).groupBy("failure_reason_id").agg(rows().alias("n"), cents().alias("c"))
+    by_id = star.fact.where(lost).groupBy("failure_reason_id").agg(rows().alias("n"), cents().alias("c"), priced().alias("cn"))
     return (
         by_id.join(star.reasons, "failure_reason_id")
         .select(
@@ -543,7 +556,7 @@ def top_failure_reasons(star: Star, n: int = 5) -> DataFrame:
             F.col("n").alias("failed_txns_count"),
             money("c", "lost_volume_inr"),
             pct(F.col("c"), F.sum("c").over(Window.partitionBy())).alias("pct_of_failed_volume"),
-            avg_money(F.col("c"), F.col("n")).alias("avg_lost_ticket_size"),
+            avg_money(F.col("c"), F.col("cn")).alias("avg_lost_ticket_size"),
         )
         .orderBy(F.desc("lost_volume_inr"), "failure_reason_id")
         .limit(n)

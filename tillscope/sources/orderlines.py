@@ -38,12 +38,6 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(INPUTS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where the input has fewer splits than that; large inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _store_once(spark: SparkSession, sf_dir: str, name: str, build, schema: StructType) -> DataFrame:
     """The table ``build`` makes, written on first use in a session and scanned from then on."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
@@ -193,7 +187,7 @@ def _fact_columns() -> dict[str, Column]:
 
 def build_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact, each file sorted by status: a scan for failures can skip the row groups of successes."""
-    lines = _lines(_spread(_read(spark, sf_dir, "lineitem")), _read(spark, sf_dir, "orders"))
+    lines = _lines(_read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "orders"))
     rows = lines.select(*[c.alias(name) for name, c in _fact_columns().items()])
     return rows.sortWithinPartitions("transaction_status")
 
@@ -228,7 +222,7 @@ def build_raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(buyer, F.col("o_custkey") == F.col("c_custkey"))
         .drop("c_custkey")
     )
-    lines = _lines(_spread(_read(spark, sf_dir, "lineitem")), orders)
+    lines = _lines(_read(spark, sf_dir, "lineitem"), orders)
     f = _fact_columns()
     o, n, c = F.col("l_orderkey"), F.col("l_linenumber"), F.col("o_custkey")
     columns = {

@@ -77,12 +77,20 @@ def read_star(spark: SparkSession, folder: str) -> Star:
 def replace_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Full refresh of a catalog table.
 
-    The rows go to a folder not used before and the name is then pointed at it, so a write that dies half
-    way leaves the old table as it was.
+    The rows are written to a folder not used before. Only then is the name given to it, so a refresh that fails
+    leaves the old table as it was.
     """
-    path = path or fresh_path(df.sparkSession, name)
-    df.write.mode("overwrite").option("path", path).saveAsTable(name)
-    return df.sparkSession.table(name)
+    spark = df.sparkSession
+    path = path or fresh_path(spark, name)
+    df.write.mode("errorifexists").parquet(path)
+    stored = spark.read.parquet(path).schema
+    if spark.catalog.tableExists(name) and spark.table(name).schema == stored:
+        spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
+        spark.catalog.refreshTable(name)
+    else:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.catalog.createTable(name, path=path, source="parquet", schema=stored)
+    return spark.table(name)
 
 
 def preview(df: DataFrame, n: int = 5, by: Sequence[str] = ()) -> DataFrame:
