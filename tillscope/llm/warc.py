@@ -230,17 +230,17 @@ def reassembled(found: DataFrame) -> DataFrame:
 def pages_read(manifest: DataFrame, folder: str) -> DataFrame:
     """Per page ``page_id, payload_bytes, payload_digest, record_type, refers_to``, read from the archives.
 
-    A revisit has the figures of the response it refers to; figures are null where that, or the payload itself, is not intact.
+    A revisit has the figures of the response it refers to; figures are null where that, or the payload itself, is not intact. The
+    archives are read twice, once for payloads and once for revisits, rather than copied.
     """
-    found = settle(read_records(manifest, folder))
-    bodies = reassembled(found).select(
+    bodies = reassembled(read_records(manifest, folder)).select(
         "page_id", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest")
     )
     bodies = settle(bodies)
     targets = bodies.groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("digest")).agg(
         F.max("payload_bytes").alias("payload_bytes")
     )
-    revisits = found.where("type = 'revisit'").select("page_id", "refers_to", "digest").join(targets, ["refers_to", "digest"], "left")
+    revisits = read_records(manifest, folder).where("type = 'revisit'").select("page_id", "refers_to", "digest").join(targets, ["refers_to", "digest"], "left")
     figures = F.when(F.col("payload_bytes").isNotNull(), F.col("digest")).alias("payload_digest")
     again = revisits.select("page_id", "payload_bytes", figures, F.lit("revisit").alias("record_type"), "refers_to")
     own = bodies.select("*", F.lit("response").alias("record_type"), F.lit(None).cast("bigint").alias("refers_to"))
