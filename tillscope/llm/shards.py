@@ -104,7 +104,12 @@ def _thinned(ends: DataFrame, width: int) -> DataFrame:
 
 
 def capacity_and_cuts(groups: DataFrame, shards: int = SHARDS, points: int = POINTS) -> tuple[int, list[int]]:
-    """The smallest feasible capacity and the end of each shard; ``groups`` (settled) has ``bytes`` and running ``end``."""
+    """The smallest feasible capacity and the end of each shard; ``groups`` (settled) has ``bytes`` and running ``end``.
+
+    A round leaves about 50 ranges a cut, so ``points`` has to be well above that for the ranges to get finer.
+    """
+    if points < 100 * shards:
+        raise ValueError("at least 100 points a shard")
     size = groups.agg(F.sum("bytes").alias("total"), F.max("bytes").alias("most")).first()
     if not size.total:
         return 0, [0] * shards
