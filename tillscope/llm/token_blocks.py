@@ -57,11 +57,9 @@ def _unlanes(words: np.ndarray, width: int) -> np.ndarray:
 
 def _widths(spread: np.ndarray, percent: int) -> np.ndarray:
     """Per block the bit length that ``percent`` of the values need at most."""
-    lengths = np.zeros(spread.shape, np.uint8)
-    for bit in range(32):
-        lengths += (spread >> np.uint32(bit)) > 0
     at = -(-BLOCK * percent // 100) - 1
-    return np.partition(lengths, at, axis=1)[:, at]
+    ranked = np.partition(spread, at, axis=1)[:, at]
+    return np.frexp(ranked.astype(np.float64))[1].astype(np.uint8)
 
 
 def encode_blocks(ids: np.ndarray, percent: int = PERCENT) -> list[bytes]:

@@ -17,7 +17,9 @@ import numpy as np
 
 BATCH_BYTES = 1 << 20
 TABLE_ENTRIES = 400_000
+SIDE_BY_SIDE = 128
 _BREAK = re.compile(r"(?= \S)")
+_PLAIN = re.compile(r" \S+")
 
 
 class Encoder:
@@ -38,6 +40,7 @@ class Encoder:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
+        self.tokenizer = tokenizer
         self.encode = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         spec = json.loads(tokenizer.to_str())
         before = spec["pre_tokenizer"] or {}
@@ -60,9 +63,29 @@ class Encoder:
                 batch, held = [], 0
         self._store(batch)
 
+    def _encoded(self, batch: list[str]) -> list[list[int]]:
+        """Ids of pieces. Those of one space and a word are encoded side by side in one text, each beginning at a safe
+        place, and told apart by the offsets of their tokens; that costs the library a third less."""
+        if not self.split:
+            return self.encode(batch)
+        alone = [i for i, p in enumerate(batch) if not _PLAIN.fullmatch(p)]
+        found: list = [None] * len(batch)
+        for i, ids in zip(alone, self.encode([batch[i] for i in alone])):
+            found[i] = ids
+        plain = [i for i, p in enumerate(found) if p is None]
+        groups = [plain[i : i + SIDE_BY_SIDE] for i in range(0, len(plain), SIDE_BY_SIDE)]
+        texts = ["".join([batch[i] for i in g]) for g in groups]
+        for group, got in zip(groups, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
+            starts = np.fromiter((o[0] for o in got.offsets), np.int64, len(got.offsets))
+            ends = np.cumsum([len(batch[i]) for i in group])
+            ids, at = got.ids, 0
+            for i, end in zip(group, np.searchsorted(starts, ends, "left").tolist()):
+                found[i], at = ids[at:end], end
+        return found
+
     def _store(self, batch: list[str]) -> None:
         if batch:
-            found = self.encode(batch)
+            found = self._encoded(batch)
             value = (lambda ids: np.asarray(ids, "<u4").tobytes()) if self.ids else len
             self.table.update(zip(batch, map(value, found)))
 
