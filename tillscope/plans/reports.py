@@ -290,8 +290,8 @@ def merchant_pareto(star: Star, cut_pct: int = 80, include_crossing: bool = Fals
         before = pct(F.col("running_cents") - F.col("loss_cents"), F.col("total_cents"))
         keep = keep | (before < cut_pct)
     return (
-        ranked.where(keep)
-        .join(star.merchants.select(*MERCHANT_NAMES), "merchant_id")
+        star.merchants.select(*MERCHANT_NAMES)
+        .join(ranked.where(keep), "merchant_id")
         .select(
             "merchant_rank",
             *MERCHANT_NAMES,
