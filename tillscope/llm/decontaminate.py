@@ -15,6 +15,7 @@ from __future__ import annotations
 import io
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,7 @@ ENERGY = 1e-4
 NEAR, STRONG, WEAK, ANSWER = 0.4, 0.8, 0.6, 0.75
 ANSWER_WORDS = 8
 GROUP_WORDS = 50_000
+PLACE_ENTRIES = 400_000
 HITS = "array<struct<item_id:bigint,cosine:double,lcs:double,answer:double>>"
 _CLEAN = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 
@@ -44,9 +46,21 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(_CLEAN).split()
 
 
+class _Places(dict):
+    """The place of each word; emptied where it has PLACE_ENTRIES words."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= PLACE_ENTRIES:
+            self.clear()
+        self[word] = place = zlib.crc32(word) & (PLACES - 1)
+        return place
+
+
+_PLACE_OF = _Places()
+
+
 def _places(words: list[bytes]) -> np.ndarray:
-    crc = zlib.crc32
-    return np.fromiter((crc(w) & (PLACES - 1) for w in words), np.int64, len(words))
+    return np.fromiter(map(_PLACE_OF.__getitem__, words), np.int64, len(words))
 
 
 def _windows(n: int) -> int:
@@ -66,6 +80,23 @@ def _terms(places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return found // PLACES, found % PLACES, tf, first
 
 
+def _halves(places: list[np.ndarray], first: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]:
+    """Each word's place and its half window, their number, and the two halves of each window (the number of halves: none).
+
+    A window is folded as the sum of its halves, so that each word is looked up once and not in both windows it is in.
+    """
+    lengths = np.fromiter(map(len, places), np.int64, len(places))
+    halves = np.maximum(1, -(-lengths // STEP))
+    upto = np.cumsum(halves)
+    n = int(upto[-1]) if len(upto) else 0
+    within = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    cell = np.repeat(upto - halves, lengths) + within // STEP
+    windows = np.diff(first)
+    left = np.arange(int(first[-1])) + np.repeat(upto - halves - first[:-1], windows)
+    right = np.where(np.repeat(halves > 1, windows), left + 1, n)
+    return np.concatenate([np.empty(0, np.int64), *places]), cell, n, left, right
+
+
 def _grouped(texts: Iterator[str | None]) -> Iterator[list[list[bytes]]]:
     group, held = [], 0
     for text in texts:
@@ -223,14 +254,24 @@ def common_share(pattern: list[bytes], words: list[bytes]) -> float:
 def checked(item: list[bytes], answer: list[bytes], words: list[bytes], window: int) -> tuple[float, float, bool]:
     """Best subsequence share near a passage, the answer's share there, and the verdict.
 
-    Stretches a quarter longer than the item slide over the text from one item length before the passage to one after it.
+    Stretches a quarter longer than the item slide over the text from one item length before the passage to one after it. One
+    that holds fewer than WEAK of the item's words, in any order, cannot stand and is passed over.
     """
     m = len(item)
     low, high = max(0, STEP * window - m), min(len(words), STEP * (window + 2) + m)
     length, hop = m + m // 4 + 2, max(1, m // 8)
     best = (0.0, 0.0)
+    times = Counter(item)
+
+    def held(part: list[bytes]) -> int:
+        return sum(map(times.__getitem__, times.keys() & set(part)))
+
+    if held(words[low : high + hop + length]) < WEAK * m:
+        return *best, False
     for start in range(low, max(low + 1, high - length + hop), hop):
         part = words[start : start + length]
+        if held(part) < WEAK * m:
+            continue
         best = max(best, (common_share(item, part), common_share(answer, part)))
     return *best, best[0] >= STRONG or (best[0] >= WEAK and best[1] >= ANSWER)
 
@@ -240,22 +281,25 @@ def search(texts: list[str | None], paths: list[str]) -> list[list[dict]]:
     idf = _load(paths[0])["idf"]
     out: list[list[dict]] = []
     for group in _grouped(texts):
-        window, place, tf, first = _terms([_places(w) for w in group])
+        places = [_places(w) for w in group]
+        window, place, tf, first = _terms(places)
         weight = tf * idf[place]
         size = np.sqrt(np.bincount(window, weight**2, minlength=int(first[-1]))).astype(np.float32)
+        every, cell, n_cells, left, right = _halves(places, first)
         near: dict[tuple[int, int], dict] = {}
         for path in paths[1:]:
             block = _block(path)
-            row = block["row_of"][place]
-            inside = np.nonzero((row >= 0) & (weight > 0))[0]
+            row = block["row_of"][every]
+            inside = np.nonzero(row >= 0)[0]
             if not len(inside) or not len(block["latent"]):
                 continue
-            seen, starts = np.unique(window[inside], return_index=True)
-            folded = np.add.reduceat(block["basis"][row[inside]] * tf[inside, None].astype(np.float32), starts, axis=0)
-            dots = folded @ block["latent"].T
-            least = NEAR * block["size"][None, :] * np.minimum(block["size"][None, :], size[seen][:, None])
+            half = np.zeros((n_cells + 1, block["basis"].shape[1]), np.float32)  # the last row stays zero
+            seen, starts = np.unique(cell[inside], return_index=True)
+            half[seen] = np.add.reduceat(block["basis"][row[inside]], starts, axis=0)
+            dots = (half[left] + half[right]) @ block["latent"].T
+            least = NEAR * block["size"][None, :] * np.minimum(block["size"][None, :], size[:, None])
             for w, q in zip(*np.nonzero(dots >= np.maximum(least, 1e-6))):
-                spot = int(seen[w])
+                spot = int(w)
                 doc = int(np.searchsorted(first, spot, "right")) - 1
                 k = int(block["of"][q])
                 key = (doc, int(block["item"][k]))
