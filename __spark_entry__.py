@@ -234,14 +234,13 @@ def scale_risk_score(raw: DataFrame) -> DataFrame:
 
 
 def status_rule_cascade(raw: DataFrame) -> DataFrame:
-    marked = etl.mark_peak(raw, etl.build_customers(raw))
-    return etl.label_status(marked).select(
+    return etl.label_status(etl.mark_peak(raw)).select(
         "transaction_id", "customer_id", "merchant_id", "is_peak", "transaction_status", "failure_reason_id"
     )
 
 
 def fact_project(raw: DataFrame) -> DataFrame:
-    return etl.build_fact(raw, etl.build_customers(raw), etl.payment_methods(raw.sparkSession))
+    return etl.build_fact(raw, None, etl.payment_methods(raw.sparkSession))
 
 
 def with_repeats(raw: DataFrame) -> DataFrame:

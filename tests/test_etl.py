@@ -77,3 +77,15 @@ def test_draws_repeat(raw):
     once = etl.build_star(raw).fact
     again = etl.build_star(raw.repartition(5)).fact
     assert once.exceptAll(again).count() == 0
+
+
+def test_city_drawn_on_the_row_is_the_customers(spark):
+    rows = [
+        {"transaction_id": i, "customer_id": i % 90 if i % 11 else None, "transaction_time": f"2023-0{6 + i % 2}-05 19:00:00", "payment_channel": "upi", "is_fraud": 0}
+        for i in range(600)
+    ]
+    df = feed(spark, rows)
+    drawn = etl.mark_peak(df).select("transaction_id", "is_peak")
+    joined = etl.mark_peak(df, etl.build_customers(df)).select("transaction_id", "is_peak")
+    assert drawn.count() == 600 and drawn.where("is_peak").count() > 0
+    assert drawn.exceptAll(joined).count() == 0

@@ -173,12 +173,20 @@ def _could_peak(w: PeakSegment) -> Column:
     )
 
 
-def mark_peak(raw: DataFrame, customers: DataFrame, w: PeakSegment = PeakSegment()) -> DataFrame:
+def drawn_city() -> Column:
+    """The city that ``build_customers`` draws for a customer; NULL where the row has none."""
+    choice = weighted_choice(draw(key_digest(F.col("customer_id"), "customer"), 1), *split(schemas.CUSTOMER_CITIES))
+    return F.when(F.col("customer_id").isNotNull(), choice)
+
+
+def mark_peak(raw: DataFrame, customers: DataFrame | None = None, w: PeakSegment = PeakSegment()) -> DataFrame:
     """Add ``is_peak``.
 
-    Only the few rows that could be in the peak segment are joined to the customers' city; all others pass
-    without a shuffle.
+    Without ``customers`` the city is drawn on the row, which needs no join. With them, only the few rows that could be in the
+    peak segment are joined to the customers' city; all others pass without a shuffle.
     """
+    if customers is None:
+        return raw.withColumn("is_peak", F.coalesce(_could_peak(w) & (drawn_city() == w.city), F.lit(False)))
     residents = customers.where(F.col("city") == w.city).select("customer_id", F.lit(True).alias("is_peak"))
     near = (
         raw.where(_could_peak(w))
@@ -226,8 +234,8 @@ def label_status(marked: DataFrame, w: PeakSegment = PeakSegment()) -> DataFrame
     )
 
 
-def build_fact(raw: DataFrame, customers: DataFrame, methods: DataFrame, w: PeakSegment = PeakSegment()) -> DataFrame:
-    """The 14 fact columns."""
+def build_fact(raw: DataFrame, customers: DataFrame | None, methods: DataFrame, w: PeakSegment = PeakSegment()) -> DataFrame:
+    """The 14 fact columns; ``customers`` as for ``mark_peak``."""
     labelled = label_status(mark_peak(channel_to_id(raw, methods), customers, w), w)
     return _shape(
         labelled,
@@ -241,9 +249,9 @@ def build_fact(raw: DataFrame, customers: DataFrame, methods: DataFrame, w: Peak
 
 def build_star(raw: DataFrame) -> Star:
     spark = raw.sparkSession
-    customers, methods = build_customers(raw), payment_methods(spark)
+    methods = payment_methods(spark)
     return Star(
-        build_fact(raw, customers, methods), customers, build_merchants(raw), methods, failure_reasons(spark)
+        build_fact(raw, None, methods), build_customers(raw), build_merchants(raw), methods, failure_reasons(spark)
     )
 
 
