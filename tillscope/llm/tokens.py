@@ -1,11 +1,15 @@
 """Token ids and counts of whole texts through a public tokenizer, with texts split at safe boundaries.
 
-For a byte-level BPE that splits with its own pattern and adds no prefix space, a place before one space that
+For a byte-level BPE that splits with its own pattern and adds no prefix space, a place before one space or line feed that
 a non-space character follows is safe: the pattern always starts a new pre-token there, whatever stands before. Only a
-special string ends the text before it, so a space right before one stays with what precedes it. So the tokens of a text
+special string ends the text before it, so white space right before one stays with what precedes it. So the tokens of a text
 are those of its pieces, and pieces recur: each worker keeps a bounded table of pieces it has seen and sends only new ones to
 the library, side by side in texts of at most JOINED pieces, told apart by the bytes that each token stands for. Other
 tokenizers get whole texts.
+
+The table's key of a piece is the piece without its space; of one that a text begins with, a space and the piece. So one plain
+split at spaces gives the keys of most texts. A key that is no safe piece, as in a run of spaces, is told when it is first
+met, and the texts that have such a key are split by the pattern of safe places.
 """
 
 from __future__ import annotations
@@ -18,20 +22,25 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 BATCH_BYTES = 1 << 20
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 800_000
 JOINED = 256
+UNSAFE = -1
 
 
 class _Numbers(dict):
-    """A number per piece; pieces asked for the first time are listed in ``new``."""
+    """A number per key, UNSAFE for one that is no safe piece; keys asked for the first time are listed in ``new``."""
 
-    def __init__(self):
+    def __init__(self, safe: re.Pattern | None):
         super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        self.new.append(piece)
-        self[piece] = number = len(self)
+        self.safe, self.new, self.next = safe, [], 0
+
+    def __missing__(self, key: str) -> int:
+        if self.safe is not None and not self.safe.match(key):
+            self[key] = UNSAFE
+            return UNSAFE
+        self.new.append(key)
+        self[key] = number = self.next
+        self.next += 1
         return number
 
 
@@ -39,7 +48,7 @@ class Encoder:
     """Ids or counts of texts; ``path`` names a .json (tokenizers) or .model (sentencepiece) file."""
 
     def __init__(self, path: str, ids: bool):
-        self.path, self.ids, self.split = path, ids, False
+        self.path, self.ids, self.split, self.safe = path, ids, False, None
         self._forget()
         if path.endswith(".model"):
             import sentencepiece
@@ -62,25 +71,41 @@ class Encoder:
         self.split = bool(byte_level and plain and spec["normalizer"] is None)
         if self.split:
             special = "|".join(re.escape(a["content"]) for a in added.values())
-            self.breaks = re.compile(rf"(?= \S)(?! (?:{special}))" if special else r"(?= \S)")
+            no_special = rf"(?!{special})" if special else ""
+            self.breaks = re.compile(rf"(?=[ \n]{no_special}\S)")
+            self.safe = re.compile(rf" |\n?{no_special}\S")
+            self._forget()
             self.sizes = np.zeros(tokenizer.get_vocab_size() + 1, np.int64)  # a byte is one letter of a vocabulary entry
             for token, number in tokenizer.get_vocab().items():
                 self.sizes[number] = len(token.encode() if number in added else token)
 
     def _forget(self) -> None:
-        self.numbers = _Numbers()
+        self.numbers = _Numbers(self.safe)
         self.flat, self.ends = np.empty(0, "<u4"), np.zeros(1, np.int64)
 
-    def pieces(self, text: str) -> list[str]:
-        return self.breaks.split(text) if self.split else [text]
+    def keys(self, text: str) -> list[str]:
+        """Keys of the pieces of ``text``, where every place before a space or line feed is safe."""
+        if not self.split:
+            return [text]
+        keys = text.replace("\n", " \n").split(" ")
+        if keys[0]:
+            keys[0] = " " + keys[0]
+        else:
+            del keys[0]
+        return keys
+
+    def _safe_keys(self, text: str) -> list[str]:
+        first, *rest = self.breaks.split(text)
+        keys = [p[1:] if p[0] == " " else p for p in rest]
+        return [" " + first, *keys] if first else keys
 
     def _learn(self) -> None:
-        """Encode the pieces that got a number and no ids yet, in batches balanced by bytes."""
+        """Encode the pieces whose keys got a number and no ids yet, in batches balanced by bytes."""
         new, self.numbers.new = self.numbers.new, []
         flat, lengths, batch, held = [self.flat], [], [], 0
-        for piece in new:
-            batch.append(piece)
-            held += len(piece) + 16
+        for key in new:
+            batch.append(key)
+            held += len(key) + 16
             if held >= BATCH_BYTES:
                 self._encode(batch, flat, lengths)
                 batch, held = [], 0
@@ -89,9 +114,9 @@ class Encoder:
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate([[0], *lengths])[1:], dtype=np.int64)])
 
     def _encode(self, batch: list[str], flat: list[np.ndarray], lengths: list[np.ndarray]) -> None:
-        """Append the ids of the pieces, and how many each has.
+        """Append the ids of the pieces with these keys, and how many each has.
 
-        A text is a run of pieces that begin at a safe place, after any first one.
+        A text is a run of pieces; a piece that a text began with begins one, any other may follow what stands before.
         """
         if not batch:
             return
@@ -100,17 +125,15 @@ class Encoder:
             flat += [np.array(ids, "<u4") for ids in found]
             lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
             return
-        starts = [i for i, p in enumerate(batch) if not self._joins(p) or i % JOINED == 0]
-        found = self.encode(["".join(batch[i:j]) for i, j in zip(starts, [*starts[1:], len(batch)])])
+        pieces = [k[1:] if k[0] == " " else k if k[0] == "\n" else " " + k for k in batch]
+        starts = [i for i, k in enumerate(batch) if k[0] == " " or i % JOINED == 0]
+        found = self.encode(["".join(pieces[i:j]) for i, j in zip(starts, [*starts[1:], len(batch)])])
         ids = np.concatenate([np.array(f, "<u4") for f in found])
-        ends = np.cumsum(np.fromiter((len(p.encode()) for p in batch), np.int64, len(batch)))
+        ends = np.cumsum(np.fromiter((len(p.encode()) for p in pieces), np.int64, len(pieces)))
         upto = np.searchsorted(np.cumsum(self.sizes[ids]), ends, "right")
         flat.append(ids)
         lengths.append(np.diff(upto, prepend=0))
 
-    def _joins(self, piece: str) -> bool:
-        return len(piece) > 1 and piece[0] == " " and not piece[1].isspace() and self.breaks.match(piece) is not None
-
     def of(self, texts: Iterable[str]) -> Iterator:
         """Counts, or ids as little-endian unsigned 32-bit bytes, in the order of ``texts``; groups of about BATCH_BYTES."""
         group, held = [], 0
@@ -127,7 +150,14 @@ class Encoder:
         if len(self.numbers) > TABLE_ENTRIES or not self.split:
             self._forget()
         number = self.numbers.__getitem__
-        parts = [np.fromiter(map(number, p), np.int64, len(p)) for p in map(self.pieces, group)]
+        parts = []
+        for text in group:
+            keys = self.keys(text)
+            part = np.fromiter(map(number, keys), np.int64, len(keys))
+            if len(part) and part.min() == UNSAFE:
+                keys = self._safe_keys(text)
+                part = np.fromiter(map(number, keys), np.int64, len(keys))
+            parts.append(part)
         if self.numbers.new:
             self._learn()
         for part in parts:
@@ -137,7 +167,7 @@ class Encoder:
                 yield int(lengths.sum())
                 continue
             upto = np.cumsum(lengths)
-            total = int(upto[-1])
+            total = int(upto[-1]) if len(upto) else 0
             yield self.flat[np.repeat(first - (upto - lengths), lengths) + np.arange(total)].tobytes()
 
 
