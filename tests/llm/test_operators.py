@@ -104,6 +104,31 @@ def test_token_files(spark):
 # 2. Decontamination
 
 
+def test_places_depend_on_the_word_alone():
+    rng = random.Random(3)
+    words = [f"{'é' * (i % 3)}W{rng.randrange(10**9)}" for i in range(3000)]
+    texts = [" ".join(rng.choices(words, k=k)) for k in (0, 1, 500, 70_000)] + [None, "", " .\n", "x" * 2_000_000, words[0] + ". " + words[0].upper()]
+    found = decontaminate._places(texts)
+    at = {}
+    for text, places in zip(texts, found):
+        named = decontaminate.words_of(text)
+        assert len(named) == len(places) and (places >= 0).all() and (places < decontaminate.PLACES).all()
+        for word, place in zip(named, places.tolist()):
+            assert at.setdefault(word, place) == place
+    assert len(set(at.values())) > 0.95 * len(at)
+    assert all(np.array_equal(a, b) for a, b in zip(found, (decontaminate._places([t])[0] for t in texts)))
+
+
+def test_folding_adds_the_rows_of_each_half():
+    rng = np.random.default_rng(4)
+    basis = rng.standard_normal((50, 7)).astype(np.float32)
+    cell = np.sort(rng.integers(0, 40, 300))
+    row = rng.integers(0, 50, 300)
+    want = np.zeros((46, 7), np.float32)
+    np.add.at(want, cell, basis[row])
+    assert np.allclose(decontaminate._folded(basis, row, cell, 45), want, atol=1e-5)
+
+
 def test_leaks(spark):
     rng = random.Random(9)
     item = [f"q{rng.randrange(10**6)}" for _ in range(40)]

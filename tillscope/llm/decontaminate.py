@@ -14,9 +14,8 @@ from __future__ import annotations
 
 import io
 import uuid
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,47 +35,78 @@ OVERSAMPLE = 8
 ENERGY = 1e-4
 NEAR, STRONG, WEAK, ANSWER = 0.4, 0.8, 0.6, 0.75
 ANSWER_WORDS = 8
-GROUP_WORDS = 50_000
-PLACE_ENTRIES = 400_000
+GROUP_CHARS = 350_000
+RADIX = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2 ** 64
+HASHED = 1 << 16
 HITS = "array<struct<item_id:bigint,cosine:double,lcs:double,answer:double>>"
 _CLEAN = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode().translate(_CLEAN).split()
+def _cleaned(text: str | None) -> bytes:
+    return (text or "").lower().encode().translate(_CLEAN)
 
 
-class _Places(dict):
-    """The place of each word; emptied where it has PLACE_ENTRIES words."""
+def words_of(text: str | None) -> list[bytes]:
+    return _cleaned(text).split()
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= PLACE_ENTRIES:
-            self.clear()
-        self[word] = place = zlib.crc32(word) & (PLACES - 1)
-        return place
 
+_POWERS = np.ones((2, 1), np.uint64)
 
-_PLACE_OF = _Places()
 
+def _powers(n: int) -> np.ndarray:
+    """Powers 0 to ``n`` - 1 of RADIX and of its inverse, modulo 2 ** 64; kept in the worker."""
+    global _POWERS
+    if _POWERS.shape[1] < n:
+        steps = np.array([[RADIX], [pow(RADIX, -1, 1 << 64)]], np.uint64)
+        _POWERS = np.hstack([np.ones((2, 1), np.uint64), np.cumprod(np.repeat(steps, max(n, 1 << 20), axis=1), axis=1, dtype=np.uint64)])
+    return _POWERS
 
-def _places(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_PLACE_OF.__getitem__, words), np.int64, len(words))
 
+def _places(texts: list[str | None]) -> list[np.ndarray]:
+    """The place of each word of each text.
 
-def _windows(n: int) -> int:
-    return max(1, -(-n // STEP) - 1)
+    A word's hash is the sum of its bytes times powers of RADIX, taken for all words at once as differences of one running
+    sum, HASHED words at a time.
+    """
+    cleaned = [_cleaned(t) for t in texts]
+    raw = np.frombuffer(b" ".join([b"", *cleaned, b""]), np.uint8)
+    inside = raw != 32
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    place = np.empty(len(starts), np.int64)
+    for i in range(0, len(starts), HASHED):
+        base = int(starts[i])
+        begin, end = starts[i : i + HASHED] - base, ends[i : i + HASHED] - base
+        size = int(end[-1])
+        up, down = _powers(size + 1)
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(raw[base : base + size] * up[:size], out=sums[1:])
+        mixed = (sums[end] - sums[begin]) * down[begin]
+        mixed ^= mixed >> np.uint64(32)
+        place[i : i + HASHED] = (mixed * np.uint64(RADIX)) >> np.uint64(48)
+    first = np.cumsum([1, *(len(c) + 1 for c in cleaned)])
+    cuts = np.searchsorted(starts, first).tolist()
+    return [place[i:j] for i, j in zip(cuts, cuts[1:])]
+
+
+def _cells(places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words of some texts, the text and the step in it; and each text's number of windows."""
+    lengths = np.fromiter(map(len, places), np.int64, len(places))
+    text = np.repeat(np.arange(len(places)), lengths)
+    within = np.arange(len(text)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return text, within // STEP, np.maximum(1, -(-lengths // STEP) - 1)
 
 
 def _terms(places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``window, place, count`` of every passage of some texts, and the first window of each text."""
-    counts = [_windows(len(p)) for p in places]
-    first = np.concatenate([[0], np.cumsum(counts)])
-    keys = []
-    for p, base, n in zip(places, first, counts):
-        cell = np.arange(len(p)) // STEP
-        left, right = np.clip(cell - 1, 0, n - 1), np.minimum(cell, n - 1)
-        keys += [(base + left) * PLACES + p, ((base + right) * PLACES + p)[left != right]]
-    found, tf = np.unique(np.concatenate(keys) if keys else np.empty(0, np.int64), return_counts=True)
+    text, cell, windows = _cells(places)
+    first = np.concatenate([[0], np.cumsum(windows)])
+    flat = np.concatenate([np.empty(0, np.int64), *places])
+    last = windows[text] - 1
+    left, right = np.clip(cell - 1, 0, last), np.minimum(cell, last)
+    both = left != right
+    keys = np.concatenate([(first[text] + left) * PLACES + flat, ((first[text] + right) * PLACES + flat)[both]])
+    found, tf = np.unique(keys, return_counts=True)
     return found // PLACES, found % PLACES, tf, first
 
 
@@ -85,24 +115,40 @@ def _halves(places: list[np.ndarray], first: np.ndarray) -> tuple[np.ndarray, np
 
     A window is folded as the sum of its halves, so that each word is looked up once and not in both windows it is in.
     """
-    lengths = np.fromiter(map(len, places), np.int64, len(places))
-    halves = np.maximum(1, -(-lengths // STEP))
+    text, within, windows = _cells(places)
+    halves = np.maximum(1, -(-np.fromiter(map(len, places), np.int64, len(places)) // STEP))
     upto = np.cumsum(halves)
     n = int(upto[-1]) if len(upto) else 0
-    within = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    cell = np.repeat(upto - halves, lengths) + within // STEP
-    windows = np.diff(first)
+    cell = (upto - halves)[text] + within
     left = np.arange(int(first[-1])) + np.repeat(upto - halves - first[:-1], windows)
     right = np.where(np.repeat(halves > 1, windows), left + 1, n)
     return np.concatenate([np.empty(0, np.int64), *places]), cell, n, left, right
 
 
-def _grouped(texts: Iterator[str | None]) -> Iterator[list[list[bytes]]]:
+def _folded(basis: np.ndarray, row: np.ndarray, cell: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the basis rows of each half's words, with a last row of zeros; ``cell`` ascends.
+
+    The halves are ranked by their number of words, and the j-th words of all that have one are added together.
+    """
+    out = np.zeros((n + 1, basis.shape[1]), np.float32)
+    seen, starts, counts = np.unique(cell, return_index=True, return_counts=True)
+    ranked = np.argsort(-counts, kind="stable")
+    starts, counts = starts[ranked], counts[ranked]
+    sums = np.zeros((len(seen), basis.shape[1]), np.float32)
+    taken = np.empty_like(sums)
+    for j in range(int(counts[0]) if len(counts) else 0):
+        some = int(np.searchsorted(-counts, -j, "left"))
+        sums[:some] += basis.take(row[starts[:some] + j], axis=0, out=taken[:some], mode="clip")
+    out[seen[ranked]] = sums
+    return out
+
+
+def _grouped(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
     group, held = [], 0
     for text in texts:
-        group.append(words_of(text))
-        held += len(group[-1])
-        if held >= GROUP_WORDS:
+        group.append(text)
+        held += len(text or "") + 16
+        if held >= GROUP_CHARS:
             yield group
             group, held = [], 0
     if group:
@@ -116,7 +162,7 @@ def passage_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         total = np.zeros(PLACES + 1, np.int64)
         for batch in batches:
             for group in _grouped(batch.column(0).to_pylist()):
-                _, place, _, first = _terms([_places(w) for w in group])
+                _, place, _, first = _terms(_places(group))
                 total[:PLACES] += np.bincount(place, minlength=PLACES)
                 total[PLACES] += first[-1]
         at = np.nonzero(total)[0]
@@ -173,7 +219,7 @@ def fit(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, ite
     def fit_block(rows: pd.DataFrame) -> pd.DataFrame:
         idf = _load(f"{folder}/weights.npz")["idf"]
         texts = [words_of(t) for t in rows["text"]]
-        window, place, tf, first = _terms([_places(w) for w in texts])
+        window, place, tf, first = _terms(_places(rows["text"].tolist()))
         keep = idf[place] > 0
         window, place, tf = window[keep], place[keep], tf[keep]
         used, column = np.unique(place, return_inverse=True)
@@ -189,7 +235,7 @@ def fit(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, ite
         _save(
             path,
             used=used,
-            basis=(basis[: len(used)] * idf[used][:, None]).astype(np.float32),
+            basis=np.ascontiguousarray(basis[: len(used)] * idf[used][:, None], np.float32),  # rows are taken
             latent=latent[ok].astype(np.float32),
             size=size[ok].astype(np.float32),
             of=of[ok],
@@ -281,21 +327,20 @@ def search(texts: list[str | None], paths: list[str]) -> list[list[dict]]:
     idf = _load(paths[0])["idf"]
     out: list[list[dict]] = []
     for group in _grouped(texts):
-        places = [_places(w) for w in group]
+        places = _places(group)
         window, place, tf, first = _terms(places)
         weight = tf * idf[place]
         size = np.sqrt(np.bincount(window, weight**2, minlength=int(first[-1]))).astype(np.float32)
         every, cell, n_cells, left, right = _halves(places, first)
         near: dict[tuple[int, int], dict] = {}
+        words: dict[int, list[bytes]] = {}
         for path in paths[1:]:
             block = _block(path)
             row = block["row_of"][every]
             inside = np.nonzero(row >= 0)[0]
             if not len(inside) or not len(block["latent"]):
                 continue
-            half = np.zeros((n_cells + 1, block["basis"].shape[1]), np.float32)  # the last row stays zero
-            seen, starts = np.unique(cell[inside], return_index=True)
-            half[seen] = np.add.reduceat(block["basis"][row[inside]], starts, axis=0)
+            half = _folded(block["basis"], row[inside], cell[inside], n_cells)
             dots = (half[left] + half[right]) @ block["latent"].T
             least = NEAR * block["size"][None, :] * np.minimum(block["size"][None, :], size[:, None])
             for w, q in zip(*np.nonzero(dots >= np.maximum(least, 1e-6))):
@@ -305,7 +350,9 @@ def search(texts: list[str | None], paths: list[str]) -> list[list[dict]]:
                 key = (doc, int(block["item"][k]))
                 if near.get(key, {}).get("lcs", 0.0) >= 1:
                     continue
-                lcs, answer, ok = checked(block["texts"][k], block["ends"][k], group[doc], spot - int(first[doc]))
+                if doc not in words:
+                    words[doc] = words_of(group[doc])
+                lcs, answer, ok = checked(block["texts"][k], block["ends"][k], words[doc], spot - int(first[doc]))
                 if ok and lcs > near.get(key, {}).get("lcs", 0.0):
                     cosine = float(dots[w, q]) / max(float(size[spot]) * float(block["size"][q]), 1e-9)
                     near[key] = {"item_id": key[1], "cosine": round(min(cosine, 1.0), 6), "lcs": round(lcs, 6), "answer": round(answer, 6)}
