@@ -336,7 +336,7 @@ MEASURES = {
     "measures_gateway_fraud": lambda s: measures.evaluate(s, measures.GATEWAY_FRAUD, ["gateway"]),
     "measure_by_dims": lambda s: measures.evaluate_with_totals(
         s,
-        ["Total Gross Volume GMV", "Total Transactions", "Failure Rate %", "Infrastructure Lost Revenue"],
+        ["Total Gross Volume GMV", "Total Transactions", "Failure Rate %", "Infrastructure Lost Revenue", "at_risk_customers"],
         ["customer_segment", "payment_method_code"],
         {"txn_month": measures.equals(7)},
     ),

@@ -80,12 +80,21 @@ SELECT gateway, {safe(n(OK), 'count(*)')} AS gateway_success_rate,
   {safe(n(f'{FRAUD} AND {NIGHT}'), n(NIGHT))} AS off_hours_fraud_rate,
   {safe(vol(f'{FRAUD} AND is_international = 1'), vol(FRAUD))} AS international_fraud_loss_share
   FROM j GROUP BY gateway""",
-    "measure_by_dims": f"""{JOINED}
-SELECT customer_segment, payment_method_code,
+    "measure_by_dims": f"""{JOINED}, pc AS (
+  SELECT customer_segment, payment_method_code, customer_id, sum(cents) AS c, count(*) AS n, {n(BAD)} AS x,
+    CAST(GROUPING(customer_segment) + GROUPING(payment_method_code) AS INTEGER) AS totals_level
+  FROM j WHERE mo = 7 GROUP BY GROUPING SETS (
+    (customer_segment, payment_method_code, customer_id), (customer_segment, customer_id), (customer_id))),
+r AS (SELECT customer_segment, payment_method_code, totals_level, count(*) FILTER (WHERE {AT_RISK}) AS at_risk_customers
+  FROM pc GROUP BY ALL),
+s AS (SELECT customer_segment, payment_method_code,
   CAST(GROUPING(customer_segment) + GROUPING(payment_method_code) AS INTEGER) AS totals_level,
   {money('sum(cents)')} AS total_gross_volume_gmv, count(*) AS total_transactions,
   {safe(n(BAD), 'count(*)')} AS failure_rate, {money(INFRA)} AS infrastructure_lost_revenue
-  FROM j WHERE mo = 7 GROUP BY ROLLUP (customer_segment, payment_method_code)""",
+  FROM j WHERE mo = 7 GROUP BY ROLLUP (customer_segment, payment_method_code))
+SELECT s.*, at_risk_customers FROM s JOIN r ON s.totals_level = r.totals_level
+  AND s.customer_segment IS NOT DISTINCT FROM r.customer_segment
+  AND s.payment_method_code IS NOT DISTINCT FROM r.payment_method_code""",
     "measure_filter_override": f""", shown AS (
   SELECT transaction_status, gateway, count(*) AS n, sum(cents) AS c FROM fact_transactions GROUP BY 1, 2),
 lifted AS (SELECT gateway, {vol(OK)} AS ok_c, {n(BAD)} AS bad_n FROM fact_transactions GROUP BY 1)

@@ -82,5 +82,16 @@ def test_totals(spark):
     rows = by_key(df, "customer_segment", "gateway", "totals_level")
     assert rows[None, None, 2].total_transactions == 2 and rows[None, None, 2].failure_rate == 0.5
     assert rows["SMB", None, 1].failure_rate == 1.0
-    with pytest.raises(ValueError):
-        m.evaluate_with_totals(star, ["Successful Volume"], ["transaction_status"])
+
+
+def test_totals_of_customers_and_lifted_filters(spark):
+    """One customer is at risk only over both gateways, so the total is not the sum of the groups."""
+    txns = [txn(1, amount="20000.00"), txn(2, amount="10000.00", status="FAILED", gateway="Razorpay"), txn(3, customer=2)]
+    star = tiny_star(spark, txns, [customer(1), customer(2, segment="SMB")])
+    df = m.evaluate_with_totals(star, ["total_transactions", "at_risk_customers"], ["customer_segment", "gateway"])
+    rows = by_key(df, "customer_segment", "gateway", "totals_level")
+    assert rows["Retail", "PayU", 0].at_risk_customers == rows["Retail", "Razorpay", 0].at_risk_customers == 0
+    assert rows["Retail", None, 1].at_risk_customers == rows[None, None, 2].at_risk_customers == 1
+    assert rows[None, None, 2].total_transactions == 3 and len(rows) == 6
+    lifted = by_key(m.evaluate_with_totals(star, ["successful_transactions"], ["transaction_status"]), "transaction_status", "totals_level")
+    assert {k: r.successful_transactions for k, r in lifted.items()} == {("SUCCESS", 0): 2, ("FAILED", 0): 2, (None, 1): 2}

@@ -1,5 +1,6 @@
 """What the plans of the main reports must and must not hold."""
 
+from tillscope.operators import profile
 from tillscope.plans import reports
 from tillscope.sources.tables import read_star, write_star
 
@@ -38,3 +39,9 @@ def test_no_merchant_rows_in_one_task(star):
 def test_python_stays_out_of_reports(star):
     for report in (reports.macro_kpis, reports.merchant_pareto, reports.churn_risk_tiers, reports.peak_hour_anomaly):
         assert "Python" not in plan(report(star))
+
+
+def test_profile_report_reads_the_feed_six_times_at_most(spark, raw, tmp_path):
+    raw.write.parquet(str(tmp_path / "feed"))
+    text = plan(profile.report(spark.read.parquet(str(tmp_path / "feed"))))
+    assert sum("feed" in line and "FileScan" in line for line in text.splitlines()) <= 6

@@ -6,6 +6,7 @@ from tiny import customer, merchant, tiny_star, txn
 from tillscope.operators import profile, quality
 from tillscope.schemas import TABLES
 from tillscope.sources import tables
+from tillscope.star import Star
 
 
 def rows_of(df, *keys):
@@ -36,6 +37,16 @@ def test_not_null_and_domains(spark):
     assert domains["dim_merchants", "merchant_name"].status == "PASSED"
 
 
+def test_a_number_too_wide_fails_its_domain(spark):
+    """A wide-typed source is audited before the typed load."""
+    star = tiny_star(spark, [txn(1), txn(2)])
+    wide = F.when(F.col("transaction_id") == 2, F.lit("12345678901.00")).otherwise(F.lit("1.00")).cast("decimal(20,2)")
+    small = [star.table(n) for n in TABLES if n != "fact_transactions"]
+    source = Star(star.fact.withColumn("amount", wide), *small)
+    row = rows_of(quality.domain_audit(source), "table_name", "column_name")["fact_transactions", "amount"]
+    assert row.status == "FAILED" and row.bad_rows == 1
+
+
 def test_reconcile_reports_a_mismatch(spark):
     a = spark.createDataFrame([("t", 5), ("u", 3)], "table_name string, source_rows long")
     b = spark.createDataFrame([("t", 5), ("v", 1)], "table_name string, loaded_rows long")

@@ -61,8 +61,8 @@ def shape(df: DataFrame) -> DataFrame:
     return _lines(df.agg(F.count("*").alias("n")), lines)
 
 
-def nulls(df: DataFrame) -> DataFrame:
-    """Missing values per column, counted in one pass, and whether any column has one."""
+def _missing_counts(df: DataFrame) -> DataFrame:
+    """Per column the missing values and all rows, counted in one pass, and whether any column has a missing one."""
     counts = [F.count_if(_missing(df, c)).alias(f"_{i}") for i, c in enumerate(df.columns)]
     worst = F.greatest(F.lit(0), *[F.col(f"_{i}") for i in range(len(counts))])
     counted = df.agg(F.count("*").alias("n"), *counts).withColumn("_any", F.when(worst > 0, "YES").otherwise("NO"))
@@ -75,9 +75,13 @@ def nulls(df: DataFrame) -> DataFrame:
         )
         for i, c in enumerate(df.columns)
     ]
-    return _lines(counted, lines).select(
-        "column_name", "null_count", pct(F.col("null_count"), F.col("total_rows")).alias("null_pct"), "any_nulls"
-    )
+    share = pct(F.col("null_count"), F.col("total_rows"))
+    return _lines(counted, lines).withColumn("null_pct", share)
+
+
+def nulls(df: DataFrame) -> DataFrame:
+    """Missing values per column, counted in one pass, and whether any column has one."""
+    return _missing_counts(df).select("column_name", "null_count", "null_pct", "any_nulls")
 
 
 def duplicates(df: DataFrame) -> DataFrame:
@@ -276,19 +280,27 @@ def _long(part: DataFrame, section: str, subject: Column, metrics: dict[str, str
     )
 
 
+def _by_column(values: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+
+
 def report(df: DataFrame, top_k: int = 5, approx: bool = False) -> DataFrame:
     """All parts as one long table of text values."""
     column, table = F.col("column_name"), F.lit("*")
+    counted = settle(_missing_counts(df))  # one row per column; it holds what shape and roles would count again
+    named = F.element_at(_by_column({f.name: f.dataType.simpleString() for f in df.schema}), column)
+    role = F.element_at(_by_column(column_roles(df)), column)
+    described = counted.withColumns({"data_type": named, "column_role": role})
     parts = [
-        _long(shape(df), "shape", column, {"data_type": "data_type", "total_rows": "total_rows"}),
-        _long(nulls(df), "nulls", column, {"null_count": "null_count", "null_pct": "null_pct"}),
+        _long(described, "shape", column, {"data_type": "data_type", "total_rows": "total_rows"}),
+        _long(described, "nulls", column, {"null_count": "null_count", "null_pct": "null_pct"}),
         _long(
             duplicates(df),
             "duplicates",
             table,
             {"duplicate_rows": "duplicate_rows", "duplicate_pct": "duplicate_pct"},
         ),
-        _long(roles(df), "roles", column, {"column_role": "column_role"}),
+        _long(described, "roles", column, {"column_role": "column_role"}),
     ]
     times, texts, nums = timestamps(df), categories(df, top_k), numbers(df, approx)
     if times is not None:
@@ -301,6 +313,7 @@ def report(df: DataFrame, top_k: int = 5, approx: bool = False) -> DataFrame:
             )
         )
     if texts is not None:
+        texts = settle(texts)  # top_k rows per column, used twice
         ranked = texts.withColumn(
             "line",
             F.concat_ws(" ", F.concat(F.lit("#"), F.col("value_rank")), F.coalesce("value", F.lit("<NULL>"))),

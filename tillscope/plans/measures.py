@@ -524,18 +524,32 @@ def evaluate(star: Star, names: Sequence[str], by: Sequence[str] = (), where: Fi
 def evaluate_with_totals(
     star: Star, names: Sequence[str], by: Sequence[str], where: Filters | None = None
 ) -> DataFrame:
-    """Plain measures per group, with a subtotal per leading group and a grand total.
+    """Any measures per group, with a subtotal per leading group and a grand total.
 
-    ``totals_level`` is the number of grouping columns summed away. Terms are summed, rates are taken anew.
+    ``totals_level`` is the number of grouping columns summed away. Terms that add up are summed in one pass and rates are
+    taken anew. Measures over customers or merchants, and terms that filter a grouping column, do not add up: they are
+    evaluated anew for each level, in the filter context of that level.
     """
     names, where = [find(n) for n in names], dict(where or {})
-    terms = _unique([t for n in names for t in MEASURES[n].terms])
-    if any(MEASURES[n].kind != "plain" for n in names) or any(k in t.filters for t in terms for k in by):
-        raise ValueError("totals take plain measures that do not filter a grouping column")
-    sums = term_sums(star, terms, by, where)
-    levels = sum((F.grouping(k).cast("int") for k in by), F.lit(0))
-    rolled = sums.rollup(*by).agg(*[F.sum(t.name).alias(t.name) for t in terms], levels.alias("totals_level"))
-    return rolled.select(*by, "totals_level", *[MEASURES[n].value().alias(n) for n in names])
+
+    def adds_up(name: str) -> bool:
+        return MEASURES[name].kind == "plain" and not any(k in t.filters for t in MEASURES[name].terms for k in by)
+
+    frames = []
+    summed, anew = [n for n in names if adds_up(n)], [n for n in names if not adds_up(n)]
+    if summed:
+        terms = _unique([t for n in summed for t in MEASURES[n].terms])
+        sums = term_sums(star, terms, by, where)
+        levels = sum((F.grouping(k).cast("int") for k in by), F.lit(0))
+        rolled = sums.rollup(*by).agg(*[F.sum(t.name).alias(t.name) for t in terms], levels.alias("totals_level"))
+        frames.append(rolled.select(*by, "totals_level", *[MEASURES[n].value().alias(n) for n in summed]))
+    if anew:
+        levels = []
+        for left in range(len(by), -1, -1):
+            level = evaluate(star, anew, by[:left], where).withColumn("totals_level", F.lit(len(by) - left))
+            levels.append(level)
+        frames.append(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), levels))
+    return _align(frames, [*by, "totals_level"]).select(*by, "totals_level", *names)
 
 
 CORE = list(MEASURES)[:13]
