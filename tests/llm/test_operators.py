@@ -149,6 +149,21 @@ def test_leaks(spark):
     assert decontaminate.clean(empty(spark), bench).count() == 0
 
 
+def leaked(spark, texts, item):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontaminate.with_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    return {r.doc_id for r in found.where("size(leaks) > 0").collect()}
+
+
+def test_leaks_in_a_small_table_and_in_a_third_of_the_rows(spark):
+    item = " ".join(f"q{i}" for i in range(20))
+    three = [f"{prose(21, 40)} {item} {prose(22, 40)}", prose(23, 100), prose(24, 100)]
+    assert leaked(spark, three, item) == {0}
+    assert leaked(spark, [item, item, *(prose(s, 100) for s in range(30, 33))], item) == {0, 1}
+    third = [f"{prose(1000 + i, 10)} {item}" if i % 3 == 0 else prose(i, 30) for i in range(300)]
+    assert leaked(spark, third, item) == set(range(0, 300, 3))
+
+
 def test_latent_search_recalls_what_exact_cosines_find():
     rng = np.random.default_rng(3)
     rows = rng.random((120, 900)) * (rng.random((120, 900)) < 0.03)

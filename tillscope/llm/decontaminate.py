@@ -29,7 +29,6 @@ from tillscope.session import fresh_path, settle
 
 PLACES = 1 << 16
 STEP = 24  # a window is two steps
-STOP_SHARE = 0.1  # terms in more of the passages weigh nothing
 PER_BLOCK = 256
 OVERSAMPLE = 8
 ENERGY = 1e-4
@@ -176,10 +175,10 @@ def passage_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def weights(frequencies: np.ndarray) -> np.ndarray:
+    """Smooth idf, log 2 at least: however common a word, or a leak, is, it weighs something."""
     n = max(1, int(frequencies[-1]))
     df = frequencies[:-1]
-    idf = np.log(n / np.maximum(df, 1))
-    return np.where(df > max(1, STOP_SHARE * n), 0.0, np.maximum(idf, 1e-3)).astype(np.float32)
+    return np.log1p(n / np.maximum(df, 1)).astype(np.float32)
 
 
 def randomised_svd(rows: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -197,7 +196,7 @@ def randomised_svd(rows: np.ndarray, seed: int = 0) -> np.ndarray:
 def fit(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, answer_col: str | None) -> list[str]:
     """Write the term weights and one file per block of benchmark passages to the shared folder; their paths, weights first.
 
-    Items without words, or only with terms that weigh nothing, cannot be searched and are left out.
+    Items without words cannot be searched and are left out.
     """
     spark = docs.sparkSession
     folder = fresh_path(spark, "latent")
@@ -220,8 +219,6 @@ def fit(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, ite
         idf = _load(f"{folder}/weights.npz")["idf"]
         texts = [words_of(t) for t in rows["text"]]
         window, place, tf, first = _terms(_places(rows["text"].tolist()))
-        keep = idf[place] > 0
-        window, place, tf = window[keep], place[keep], tf[keep]
         used, column = np.unique(place, return_inverse=True)
         matrix = np.zeros((int(first[-1]), max(1, len(used))))
         matrix[window, column] = tf * idf[place]
