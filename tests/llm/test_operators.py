@@ -173,6 +173,31 @@ def test_latent_search_recalls_what_exact_cosines_find():
     assert np.mean(np.argmax(exact, 1) == np.argmax(latent, 1)) >= 0.95
 
 
+def test_every_passage_of_a_block_keeps_its_energy():
+    rng = np.random.default_rng(5)
+    for short in (5, 10):
+        rows = np.zeros((258, 6400))
+        for i in range(255):
+            rows[i, 25 + 25 * i : 50 + 25 * i] = 12
+            rows[i, rng.permutation(24)[:15]] = 3
+        rows[255, :short] = rows[256, 0] = 3  # of common words alone; the last row has no words
+        basis = decontaminate.randomised_svd(rows)
+        kept = ((rows @ basis) ** 2).sum(axis=1)
+        assert (kept >= (1 - 1.01 * decontaminate.ENERGY) * (rows**2).sum(axis=1)).all()
+
+
+def test_a_short_item_of_common_words_among_long_rare_ones(spark):
+    rng = random.Random(6)
+    common = [f"c{i}" for i in range(24)]
+    long = [" ".join([*(f"r{i}x{j}" for j in range(25)), *rng.sample(common, 15)]) for i in range(255)]
+    short = " ".join(common[:5])
+    docs = [f"{prose(i, 3)} {short} {prose(i + 5000, 2)}" if i % 50 == 0 else " ".join(rng.sample(common, 18)) + " " + prose(i, 22) for i in range(1000)]
+    bench = spark.createDataFrame(list(enumerate([*long, short])), "item_id long, text string")
+    found = decontaminate.with_leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), bench)
+    got = {r.doc_id for r in found.where("exists(leaks, x -> x.item_id = 255)").collect()}
+    assert set(range(0, 1000, 50)) <= got
+
+
 # 3. Chat
 
 
