@@ -198,6 +198,64 @@ def test_a_short_item_of_common_words_among_long_rare_ones(spark):
     assert set(range(0, 1000, 50)) <= got
 
 
+def subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def holds(item, words):
+    """Whether some stretch of the words holds the item, by every stretch."""
+    m, end = len(item), item[-decontaminate.ANSWER_WORDS :]
+    length = m + m // 4 + 2
+    for start in range(max(1, len(words) - length + 1)):
+        part = words[start : start + length]
+        if sum((Counter(item) & Counter(part)).values()) < 0.6 * m - 1e-9:
+            continue
+        share = subsequence(item, part) / m
+        if share >= 0.8 - 1e-9 or share >= 0.6 - 1e-9 and subsequence(end, part) >= 0.75 * len(end):
+            return True
+    return False
+
+
+def paraphrased():
+    """Items half of common words, and texts in which the rarest words are swapped and others put between, at any offset."""
+    rng = random.Random(12)
+    common = [f"c{i}" for i in range(40)]
+    some = lambda k: [rng.choice(common) if rng.random() < 0.6 else f"r{rng.randrange(10**9)}" for _ in range(k)]
+    items = [some(k) for k in (8, 25, 40, 48, 60, 63) for _ in range(3)]
+    texts = [some(200) for _ in range(20)]
+    for item in items:
+        for swapped in (0.15, 0.3, 0.38, 0.45):
+            body = list(item)
+            rare = [i for i, w in enumerate(item[: -decontaminate.ANSWER_WORDS if swapped > 0.2 else None]) if w[0] == "r"]
+            for i in rare[: int(swapped * len(item))]:
+                body[i] = f"z{rng.randrange(10**9)}"
+            for _ in range(rng.randrange(len(item) // 4 + 1)):
+                body.insert(rng.randrange(len(body)), f"y{rng.randrange(10**9)}")
+            texts.append([*some(rng.randrange(70)), *body, *some(rng.randrange(70))])
+    return items, texts
+
+
+def test_leaks_are_those_of_every_stretch(spark):
+    items, texts = paraphrased()
+    want = {(d, i) for d, words in enumerate(texts) for i, item in enumerate(items) if holds(item, words)}
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame([(d, " ".join(x)) for d, x in enumerate(texts)], "doc_id long, text string").repartition(8)
+    found = decontaminate.with_leaks(docs, bench).select("doc_id", F.explode("leaks.item_id").alias("item")).collect()
+    assert len(want) > 40 and {(r.doc_id, r.item) for r in found} == want
+
+
+def test_a_long_item_is_found_by_its_paraphrase(spark):
+    rng = random.Random(13)
+    item = [f"q{rng.randrange(400)}" for _ in range(5000)]
+    text = [w if rng.random() < 0.85 else f"z{rng.randrange(10**6)}" for w in item]
+    assert leaked(spark, [prose(1, 4000), " ".join([prose(2, 333), *text, prose(3, 77)]), " ".join(item[:2500])], " ".join(item)) == {1}
+
+
 # 3. Chat
 
 

@@ -1,18 +1,23 @@
 """Benchmark decontamination by latent semantic retrieval, with subsequence and answer checks of what it finds.
 
-Texts are cut into passages: windows of 48 words, 24 apart, over lower-case words without ASCII punctuation. Terms are hashed
-into 2^16 places; document frequencies count the passages of the whole corpus. The benchmark's passages are dealt into blocks
-of 256, and each block gets a randomised SVD of its TF-IDF rows, taken at length one (a distributed job over blocks, written to the
-shared folder). Every single passage keeps all but ENERGY of its energy in its block's latent space, so latent cosines differ from the
-exact ones by at most the root of that, 0.01. Each corpus passage is folded into the space of every block, one block in memory at a time. A passage is a candidate for an item
-where the cosine reaches NEAR of what full containment of the item would give. A candidate stands if the longest common subsequence
-of item and text near the passage holds STRONG of the item's words, or WEAK of them and ANSWER of its answer (its last words,
-unless the benchmark has an answer column).
+Terms are lower-case words without ASCII punctuation, hashed into 2^16 places; document frequencies count the passages of the whole
+corpus: windows of 48 words, 24 apart. Each benchmark item is one passage, whatever its length. Items are dealt into blocks of about
+256 windows, and each block gets a randomised SVD of its TF-IDF rows, taken at length one (a distributed job over blocks, written to
+the shared folder). Every single item keeps all but ENERGY of its energy in its block's latent space. Each half window of the corpus is
+folded into the space of every block, one block in memory at a time, and the products with an item are summed over runs of
+halves.
+
+A stretch of a text, a quarter longer than the item, holds an item if their longest common subsequence is STRONG of the item's words,
+or WEAK of them and ANSWER of its answer (its last words, unless the benchmark has an answer column). A stretch that could
+pass holds WEAK of the item's words, so the run it lies in has at least the product of the item with its lightest words of that
+number. The stretches of the runs that reach this, less what the latent space leaves out, are checked: no stretch that would pass is
+lost in the search.
 """
 
 from __future__ import annotations
 
 import io
+import math
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -32,7 +37,7 @@ STEP = 24  # a window is two steps
 PER_BLOCK = 256
 OVERSAMPLE = 8
 ENERGY = 1e-4
-NEAR, STRONG, WEAK, ANSWER = 0.4, 0.8, 0.6, 0.75
+STRONG, WEAK, ANSWER = 0.8, 0.6, 0.75
 ANSWER_WORDS = 8
 GROUP_CHARS = 350_000
 RADIX = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2 ** 64
@@ -109,19 +114,19 @@ def _terms(places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return found // PLACES, found % PLACES, tf, first
 
 
-def _halves(places: list[np.ndarray], first: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]:
-    """Each word's place and its half window, their number, and the two halves of each window (the number of halves: none).
+def _halves(places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The half window of each word of some texts, and the first half of each text."""
+    text, within, _ = _cells(places)
+    lengths = np.fromiter(map(len, places), np.int64, len(places))
+    first = np.concatenate([[0], np.cumsum(np.maximum(1, -(-lengths // STEP)))])
+    return first[:-1][text] + within, first
 
-    A window is folded as the sum of its halves, so that each word is looked up once and not in both windows it is in.
-    """
-    text, within, windows = _cells(places)
-    halves = np.maximum(1, -(-np.fromiter(map(len, places), np.int64, len(places)) // STEP))
-    upto = np.cumsum(halves)
-    n = int(upto[-1]) if len(upto) else 0
-    cell = (upto - halves)[text] + within
-    left = np.arange(int(first[-1])) + np.repeat(upto - halves - first[:-1], windows)
-    right = np.where(np.repeat(halves > 1, windows), left + 1, n)
-    return np.concatenate([np.empty(0, np.int64), *places]), cell, n, left, right
+
+def _whole(places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``text, place, count`` of some texts."""
+    text = np.repeat(np.arange(len(places)), [len(p) for p in places])
+    found, tf = np.unique(text * PLACES + np.concatenate([np.empty(0, np.int64), *places]), return_counts=True)
+    return found // PLACES, found % PLACES, tf
 
 
 def _folded(basis: np.ndarray, row: np.ndarray, cell: np.ndarray, n: int) -> np.ndarray:
@@ -175,10 +180,13 @@ def passage_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def weights(frequencies: np.ndarray) -> np.ndarray:
-    """Smooth idf, log 2 at least: however common a word, or a leak, is, it weighs something."""
+    """Root of a smooth idf, which is log 2 at least: however common a word, or a leak, is, it weighs something.
+
+    Products hold the weight twice; under the root a rare word counts for a few common ones and not for a hundred.
+    """
     n = max(1, int(frequencies[-1]))
     df = frequencies[:-1]
-    return np.log1p(n / np.maximum(df, 1)).astype(np.float32)
+    return np.sqrt(np.log1p(n / np.maximum(df, 1))).astype(np.float32)
 
 
 def randomised_svd(rows: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -198,8 +206,14 @@ def randomised_svd(rows: np.ndarray, seed: int = 0) -> np.ndarray:
     return vt[:rank].T
 
 
+def lightest(tf: np.ndarray, idf: np.ndarray) -> float:
+    """The least product of an item with a text that holds WEAK of its words."""
+    each = np.sort(np.repeat(tf * idf.astype(np.float64) ** 2, tf))
+    return float(each[: math.ceil(WEAK * len(each) - 1e-9)].sum())
+
+
 def fit(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, answer_col: str | None) -> list[str]:
-    """Write the term weights and one file per block of benchmark passages to the shared folder; their paths, weights first.
+    """Write the term weights and one file per block of benchmark items to the shared folder; their paths, weights first.
 
     Items without words cannot be searched and are left out.
     """
@@ -223,14 +237,14 @@ def fit(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, ite
     def fit_block(rows: pd.DataFrame) -> pd.DataFrame:
         idf = _load(f"{folder}/weights.npz")["idf"]
         texts = [words_of(t) for t in rows["text"]]
-        window, place, tf, first = _terms(_places(rows["text"].tolist()))
+        text, place, tf = _whole(_places(rows["text"].tolist()))
         used, column = np.unique(place, return_inverse=True)
-        matrix = np.zeros((int(first[-1]), max(1, len(used))))
-        matrix[window, column] = tf * idf[place]
+        matrix = np.zeros((len(texts), max(1, len(used))))
+        matrix[text, column] = tf * idf[place]
         basis = randomised_svd(matrix)
         latent = matrix @ basis
         size = np.sqrt((matrix**2).sum(axis=1))
-        of = np.repeat(np.arange(len(texts)), np.diff(first))
+        least = [lightest(tf[text == k], idf[place[text == k]]) for k in range(len(texts))]
         ok = size > 0
         path = f"{folder}/block-{uuid.uuid4().hex}.npz"
         answers = [words_of(a) if a is not None and a == a else w[-ANSWER_WORDS:] for a, w in zip(rows["answer"], texts)]
@@ -240,7 +254,9 @@ def fit(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, ite
             basis=np.ascontiguousarray(basis[: len(used)] * idf[used][:, None], np.float32),  # rows are taken
             latent=latent[ok].astype(np.float32),
             size=size[ok].astype(np.float32),
-            of=of[ok],
+            lost=np.sqrt(np.maximum(size**2 - (latent**2).sum(axis=1), 0))[ok].astype(np.float32),
+            least=np.array(least)[ok],
+            of=np.nonzero(ok)[0],
             item=rows["item"].fillna(-1).to_numpy(np.int64),
             words=np.array([b" ".join(w).decode() for w in texts]),
             answers=np.array([b" ".join(w).decode() for w in answers]),
@@ -280,6 +296,8 @@ def _block(path: str) -> dict:
         block["row_of"][block["used"]] = np.arange(len(block["used"]))
         block["texts"] = [w.encode().split() for w in block["words"].tolist()]
         block["ends"] = [w.encode().split() for w in block["answers"].tolist()]
+        block["times"] = [Counter(w) for w in block["texts"]]
+        block["runs"] = np.array([run_of(len(block["texts"][k])) for k in block["of"]], np.int64)
     return block
 
 
@@ -299,29 +317,68 @@ def common_share(pattern: list[bytes], words: list[bytes]) -> float:
     return 1 - state.bit_count() / len(pattern)
 
 
-def checked(item: list[bytes], answer: list[bytes], words: list[bytes], window: int) -> tuple[float, float, bool]:
-    """Best subsequence share near a passage, the answer's share there, and the verdict.
+def stretch_of(m: int) -> tuple[int, int]:
+    """Length of the stretches of a text that are checked for an item of ``m`` words, and the hop from one to the next."""
+    return m + m // 4 + 2, max(1, m // 32)
+
 
-    Stretches a quarter longer than the item slide over the text from one item length before the passage to one after it. One
-    that holds fewer than WEAK of the item's words, in any order, cannot stand and is passed over.
+def run_of(m: int) -> int:
+    """Number of halves that hold any stretch that begins in the first of them."""
+    return (stretch_of(m)[0] + STEP - 2) // STEP + 1
+
+
+def checked(item: list[bytes], answer: list[bytes], times: Counter, words: list[bytes], begin: int, end: int) -> tuple[float, float, int] | None:
+    """Best subsequence share, the answer's share and the start, of the stretches that stand and start from ``begin`` to before ``end``.
+
+    Stretches start at the text's multiples of the hop. One that holds fewer than WEAK of the item's words, in any order,
+    cannot stand and is passed over.
     """
     m = len(item)
-    low, high = max(0, STEP * window - m), min(len(words), STEP * (window + 2) + m)
-    length, hop = m + m // 4 + 2, max(1, m // 8)
-    best = (0.0, 0.0)
-    times = Counter(item)
+    length, hop = stretch_of(m)
+    least = WEAK * m - 1e-9
+    begin, end = -(-begin // hop) * hop, min(end, max(1, len(words) - length + hop))
 
     def held(part: list[bytes]) -> int:
         return sum(map(times.__getitem__, times.keys() & set(part)))
 
-    if held(words[low : high + hop + length]) < WEAK * m:
-        return *best, False
-    for start in range(low, max(low + 1, high - length + hop), hop):
+    if begin >= end or held(words[begin : end + length]) < least:
+        return None
+    best = None
+    for start in range(begin, end, hop):
         part = words[start : start + length]
-        if held(part) < WEAK * m:
+        if held(part) < least:
+            continue
+        lcs = common_share(item, part)
+        if lcs < WEAK - 1e-9 or best and lcs < best[0]:
             continue
-        best = max(best, (common_share(item, part), common_share(answer, part)))
-    return *best, best[0] >= STRONG or (best[0] >= WEAK and best[1] >= ANSWER)
+        ended = common_share(answer, part)
+        if lcs >= STRONG - 1e-9 or ended >= ANSWER:
+            best = max(best or (lcs, ended, start), (lcs, ended, start))
+        if best and best[0] >= 1:
+            break
+    return best
+
+
+def _summed(dots: np.ndarray, run: int) -> np.ndarray:
+    """Sums of each row and the ``run`` - 1 after it."""
+    n = len(dots)
+    if run > 8:
+        upto = np.concatenate([np.zeros((1, *dots.shape[1:])), np.cumsum(dots, axis=0, dtype=np.float64)])
+        return upto[np.minimum(np.arange(n) + run, n)] - upto[:n]
+    out = dots.copy()
+    for i in range(1, min(run, n)):
+        out[:-i] += dots[i:]
+    return out
+
+
+def near(block: dict, half: np.ndarray, norms: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Halves and items of a block: the stretches that start in the half may hold the item."""
+    dots = half @ block["latent"].T
+    for run in np.unique(block["runs"]).tolist():
+        these = np.nonzero(block["runs"] == run)[0]
+        least = 0.999 * block["least"][these][None, :] - block["lost"][these][None, :] * _summed(norms, run)[:, None]
+        at, which = np.nonzero(_summed(dots[:, these], run) >= least)
+        yield from zip(at.tolist(), these[which].tolist())
 
 
 def search(texts: list[str | None], paths: list[str]) -> list[list[dict]]:
@@ -330,11 +387,13 @@ def search(texts: list[str | None], paths: list[str]) -> list[list[dict]]:
     out: list[list[dict]] = []
     for group in _grouped(texts):
         places = _places(group)
-        window, place, tf, first = _terms(places)
-        weight = tf * idf[place]
-        size = np.sqrt(np.bincount(window, weight**2, minlength=int(first[-1]))).astype(np.float32)
-        every, cell, n_cells, left, right = _halves(places, first)
-        near: dict[tuple[int, int], dict] = {}
+        every = np.concatenate([np.empty(0, np.int64), *places])
+        cell, first = _halves(places)
+        n_cells = int(first[-1])
+        found, tf = np.unique(cell * PLACES + every, return_counts=True)
+        norms = np.sqrt(np.bincount(found // PLACES, (tf * idf[found % PLACES]) ** 2, minlength=n_cells)).astype(np.float32)
+        of = np.repeat(np.arange(len(group)), np.diff(first)).tolist()
+        best: dict[tuple[int, int], tuple] = {}
         words: dict[int, list[bytes]] = {}
         for path in paths[1:]:
             block = _block(path)
@@ -342,25 +401,25 @@ def search(texts: list[str | None], paths: list[str]) -> list[list[dict]]:
             inside = np.nonzero(row >= 0)[0]
             if not len(inside) or not len(block["latent"]):
                 continue
-            half = _folded(block["basis"], row[inside], cell[inside], n_cells)
-            dots = (half[left] + half[right]) @ block["latent"].T
-            least = NEAR * block["size"][None, :] * np.minimum(block["size"][None, :], size[:, None])
-            for w, q in zip(*np.nonzero(dots >= np.maximum(least, 1e-6))):
-                spot = int(w)
-                doc = int(np.searchsorted(first, spot, "right")) - 1
-                k = int(block["of"][q])
+            half = _folded(block["basis"], row[inside], cell[inside], n_cells)[:n_cells]
+            for spot, q in near(block, half, norms):
+                doc, k = of[spot], int(block["of"][q])
                 key = (doc, int(block["item"][k]))
-                if near.get(key, {}).get("lcs", 0.0) >= 1:
+                if best.get(key, (0.0,))[0] >= 1:
                     continue
                 if doc not in words:
                     words[doc] = words_of(group[doc])
-                lcs, answer, ok = checked(block["texts"][k], block["ends"][k], words[doc], spot - int(first[doc]))
-                if ok and lcs > near.get(key, {}).get("lcs", 0.0):
-                    cosine = float(dots[w, q]) / max(float(size[spot]) * float(block["size"][q]), 1e-9)
-                    near[key] = {"item_id": key[1], "cosine": round(min(cosine, 1.0), 6), "lcs": round(lcs, 6), "answer": round(answer, 6)}
+                begin = STEP * (spot - int(first[doc]))
+                hit = checked(block["texts"][k], block["ends"][k], block["times"][k], words[doc], begin, begin + STEP)
+                if hit and hit[0] > best.get(key, (0.0,))[0]:
+                    part = places[doc][hit[2] : hit[2] + stretch_of(len(block["texts"][k]))[0]]
+                    place, tf = np.unique(part, return_counts=True)
+                    rows = block["row_of"][place]
+                    dot = float((tf[rows >= 0] @ block["basis"][rows[rows >= 0]]) @ block["latent"][q])
+                    best[key] = (*hit[:2], dot / max(float(np.sqrt(((tf * idf[place]) ** 2).sum())) * float(block["size"][q]), 1e-9))
         hits: list[list[dict]] = [[] for _ in group]
-        for (doc, _), hit in sorted(near.items()):
-            hits[doc].append(hit)
+        for (doc, item), (lcs, answer, cosine) in sorted(best.items()):
+            hits[doc].append({"item_id": item, "cosine": round(min(cosine, 1.0), 6), "lcs": round(lcs, 6), "answer": round(answer, 6)})
         out += hits
     return out
 
