@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -207,6 +208,26 @@ def subsequence(a, b):
     return row[-1]
 
 
+def test_subsequences_of_parts_are_those_of_the_whole(monkeypatch):
+    rng = random.Random(14)
+    for part in (1, 3, 8, 64):
+        monkeypatch.setattr(decontaminate, "PART", part)
+        for _ in range(60):
+            a, b = ([b"%d" % rng.randrange(rng.choice((2, 9, 30))) for _ in range(rng.randrange(1, 40))] for _ in range(2))
+            assert decontaminate.common_share(a, b) == 1 - (len(a) - subsequence(a, b)) / len(a)
+
+
+def test_memory_of_a_very_long_item():
+    item = [b"w%d" % i for i in range(100_000)]
+    rows = np.random.default_rng(0).random((1, 40_000))
+    tracemalloc.start()
+    share = decontaminate.common_share(item, item[::2])
+    basis = decontaminate.randomised_svd(rows)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert share == 0.5 and basis.shape == (40_000, 1) and most < 100e6
+
+
 def holds(item, words):
     """Whether some stretch of the words holds the item, by every stretch."""
     m, end = len(item), item[-decontaminate.ANSWER_WORDS :]

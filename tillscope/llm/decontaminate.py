@@ -40,6 +40,7 @@ ENERGY = 1e-4
 STRONG, WEAK, ANSWER = 0.8, 0.6, 0.75
 ANSWER_WORDS = 8
 GROUP_CHARS = 350_000
+PART = 4096
 RADIX = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2 ** 64
 HASHED = 1 << 16
 HITS = "array<struct<item_id:bigint,cosine:double,lcs:double,answer:double>>"
@@ -302,19 +303,38 @@ def _block(path: str) -> dict:
 
 
 def common_share(pattern: list[bytes], words: list[bytes]) -> float:
-    """Longest common subsequence over the length of ``pattern``, bit-parallel."""
+    """Longest common subsequence over the length of ``pattern``, bit-parallel, PART of its words at a time.
+
+    Of each part the additions' carries, one bit a word, go to the next, so that memory stays small for an item of any length.
+    """
     if not pattern:
         return 0.0
-    at: dict[bytes, int] = {}
-    for i, w in enumerate(pattern):
-        at[w] = at.get(w, 0) | 1 << i
-    full = (1 << len(pattern)) - 1
-    state = full
-    for w in words:
-        if mask := at.get(w):
-            hit = state & mask
-            state = ((state + hit) | (state - hit)) & full
-    return 1 - state.bit_count() / len(pattern)
+    missed = 0
+    carries = bytes(len(words)) if len(pattern) > PART else None
+    for first in range(0, len(pattern), PART):
+        part = pattern[first : first + PART]
+        at: dict[bytes, int] = {}
+        for i, w in enumerate(part):
+            at[w] = at.get(w, 0) | 1 << i
+        full = (1 << len(part)) - 1
+        state = full
+        if carries is None:
+            for w in words:
+                if mask := at.get(w):
+                    hit = state & mask
+                    state = ((state + hit) | (state - hit)) & full
+        else:
+            out = bytearray(len(words))
+            for j, (w, carry) in enumerate(zip(words, carries)):
+                mask = at.get(w, 0)
+                if mask or carry:
+                    hit = state & mask
+                    added = state + hit + carry
+                    out[j] = added >> len(part)
+                    state = (added & full) | (state - hit)
+            carries = bytes(out)
+        missed += state.bit_count()
+    return 1 - missed / len(pattern)
 
 
 def stretch_of(m: int) -> tuple[int, int]:
