@@ -307,6 +307,31 @@ def test_chat_windows(spark):
     assert chat.read_back(chat.windows(df.limit(0), TOKENIZER)).count() == 0
 
 
+def test_windows_keep_to_the_budget_as_written(spark):
+    rng = random.Random(8)
+    rows = []
+    for c, (system, longest) in enumerate([(100, 60), (600, 60), (1200, 60), (1500, 20), (3000, 60), (0, 900), (500, 700)]):
+        rows += [(c, 0, "system", prose(c, system))] if system else []
+        rows += [(c, 1 + i, ("assistant", "user")[i % 2], prose(c * 100 + i, rng.randrange(1, longest + 1)) + " <|im_end|> \\ <|" * 9) for i in range(60)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    laid = chat.windows(df, TOKENIZER)
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    fits = 0
+    for r in laid.collect():
+        assert r.n_tokens == len(tokenizer.encode(r.text, add_special_tokens=False).ids)
+        shown = [chat.formatted([(*turn, False)])[0] for turn in chat.parse(r.text)]
+        turns = [len(tokenizer.encode(x, add_special_tokens=False).ids) for x in shown]
+        assert r.over_budget == (r.n_tokens > chat.BUDGET)
+        if r.over_budget:  # one new turn, and what it must be seen with
+            assert len(turns) - r.n_repeated == 1 and r.n_repeated <= 1 or turns[0] > chat.BUDGET
+        fits += not r.over_budget
+    assert fits > 50
+    back = {r.conv_id: r for r in chat.read_back(laid).collect()}
+    for c in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == c]
+        assert back[c].turns_sha256 == hashlib.sha256("".join(f"{r[2]}\n{r[3]}\n" for r in own).encode()).hexdigest()
+
+
 # 4. Shards
 
 

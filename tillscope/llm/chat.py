@@ -2,8 +2,11 @@
 
 The tokens of a conversation's turns are summed in order; windows hold whole turns: the turns that start and end in the same stretch of
 FRESH tokens form one window, a turn that crosses into the next stretch has a window of its own, so no window but that of a longer turn holds
-more than FRESH new tokens. Later windows begin with the conversation's system turn and with up to HISTORY_TURNS turns from before, as
-far as they hold HISTORY tokens. Repeated turns are masked: each assistant text is a target once, in the window where it is new.
+more than FRESH new tokens. Later windows begin with the conversation's opening system turn and with up to HISTORY_TURNS turns from before, as
+far as they hold HISTORY tokens and the window stays within BUDGET. A system turn of more than SYSTEM tokens takes the rest off its
+conversation's stretches. Tokens are those of the turn as it is written. A window is above BUDGET, and marked ``over_budget``, only where the
+system turn and a single new turn do not fit together, or the system turn alone does not. Repeated turns are masked: each assistant
+text is a target once, in the window where it is new.
 
 Template: ``<|im_start|>role`` newline ``text<|im_end|>`` newline. In roles and texts a backslash becomes two, ``<|`` becomes ``<``, backslash,
 ``|``, and in roles a newline becomes backslash ``n``; so control strings never stand in a text, and all texts come back as they were.
@@ -16,10 +19,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.llm.common import ROW, running, tagged
+from tillscope.llm.common import ROW, join_small, running, tagged
 from tillscope.llm.token_counts import token_count
 from tillscope.session import settle
 
@@ -46,6 +49,16 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], role)
 
 
+def written(role: Column, text: Column) -> Column:
+    """A turn as ``formatted`` writes it."""
+
+    def escaped(value: Column) -> Column:
+        return F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
+
+    head = F.replace(escaped(role), F.lit("\n"), F.lit("\\n"))
+    return F.concat(F.lit(OPEN), head, F.lit("\n"), escaped(text), F.lit(CLOSE))
+
+
 def formatted(turns: list[tuple[str, str, bool]]) -> tuple[str, list[dict[str, int]], int]:
     """Text of a window, the spans (code points) of its targets, and how many leading turns are repeats."""
     out, spans, at = [], [], 0
@@ -64,9 +77,9 @@ def parse(text: str) -> list[tuple[str, str]]:
 
 def windows(
     conversations: DataFrame, tokenizer_path: str, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
-    text_col: str = "text", fresh: int = FRESH, history: int = HISTORY, history_turns: int = HISTORY_TURNS,
+    text_col: str = "text", fresh: int = FRESH, history: int = HISTORY, history_turns: int = HISTORY_TURNS, system: int = SYSTEM,
 ) -> DataFrame:
-    """One row per window: ``conv_id, window, text, targets (spans), n_repeated, n_tokens``, settled.
+    """One row per window: ``conv_id, window, text, targets (spans), n_repeated, n_tokens, over_budget``, settled.
 
     Null roles and texts are empty, null turns come first, equal turn numbers stand in any fixed order; rows without a conversation id are one
     conversation. A conversation of any length is spread over the cluster; what is gathered is the turns of one window.
@@ -76,22 +89,29 @@ def windows(
         F.coalesce(F.col(conv_col).cast("string"), F.lit("")).alias("conv"), F.col(conv_col).alias("conv_id"),
         F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"),
     )
-    shown = F.concat(F.lit(OPEN), F.col("role"), F.lit("\n"), F.col("text"), F.lit(CLOSE))
+    budget = system + history + fresh
+    shown = written(F.col("role"), F.col("text"))
     rows = tagged(turns.withColumn("n", token_count(shown, tokenizer_path)).withColumn("one", F.lit(1)))
     narrow = rows.select("conv", "turn", ROW, "n", "one", (F.col("role") == "system").alias("system"))
-    placed = running(narrow, ["conv"], ["turn", ROW], {"before": "n", "pos": "one"})
-    stretch = F.expr(f"before div {fresh}")
-    crosses = F.expr(f"(before + n - 1) div {fresh}") > stretch
+    summed = settle(running(narrow, ["conv"], ["turn", ROW], {"before": "n", "pos": "one"}))
+    opened = settle(summed.where("pos = 0 and system").select("conv", F.col(ROW).alias("system_row"), F.col("n").alias("system_n")))
+    left = F.lit(budget) - F.col("system_n")
+    room = F.when(left > 0, F.least(F.lit(fresh), F.greatest(left - history, F.ceil(left / 2)))).otherwise(fresh).cast("bigint")
+    large = settle(opened.where(F.col("system_n") > system).select("conv", room.alias("room")))
+    placed = join_small(summed, large, ["conv"]).withColumn("room", F.coalesce("room", F.lit(fresh).cast("bigint")))
+    stretch = F.expr("before div room")
+    crosses = F.expr("(before + n - 1) div room") > stretch
     placed = settle(placed.withColumn("window", 2 * stretch + crosses.cast("int")))
-    starts = settle(placed.groupBy("conv", "window").agg(F.min("pos").alias("first"), F.min("before").alias("at")).where("first > 0"))
+    begun = placed.groupBy("conv", "window").agg(F.min("pos").alias("first"), F.min("before").alias("at"), F.sum("n").alias("new")).where("first > 0")
+    starts = settle(begun.join(opened, "conv", "left").withColumn("free", F.lit(budget) - F.coalesce("system_n", F.lit(0)) - F.col("new")))
     back = starts.withColumn("pos", F.explode(F.sequence(F.col("first") - F.least(F.lit(history_turns).cast("bigint"), F.col("first")), F.col("first") - 1)))
     earlier = (
         back.join(placed.select("conv", "pos", ROW, "before", "system"), ["conv", "pos"])
-        .where((F.col("at") - F.col("before") <= history) & ~((F.col("pos") == 0) & F.col("system")))
+        .where((F.col("at") - F.col("before") <= F.least(F.lit(history), F.col("free"))) & ~((F.col("pos") == 0) & F.col("system")))
         .select("conv", "window", "pos", ROW, F.lit(True).alias("repeated"))
     )
-    opening = starts.join(placed.where("pos = 0 and system").select("conv", "pos", ROW), "conv").select(
-        "conv", "window", "pos", ROW, F.lit(True).alias("repeated")
+    opening = starts.where("system_row is not null").select(
+        "conv", "window", F.lit(0).cast("bigint").alias("pos"), F.col("system_row").alias(ROW), F.lit(True).alias("repeated")
     )
     new = placed.select("conv", "window", "pos", ROW, F.lit(False).alias("repeated"))
     members = new.unionByName(earlier).unionByName(opening).join(rows.select(ROW, "conv_id", "role", "text", "n"), ROW)
@@ -111,7 +131,7 @@ def windows(
 
     schema = "conv string, conv_id long, window long, n_tokens long, text string, targets array<struct<`from`:long,`to`:long>>, n_repeated int"
     typed = gathered.select("conv", F.col("conv_id").cast("bigint").alias("conv_id"), "window", "n_tokens", "turns")
-    return settle(typed.mapInArrow(lay_out, schema))
+    return settle(typed.mapInArrow(lay_out, schema).withColumn("over_budget", F.col("n_tokens") > budget))
 
 
 def read_back(laid: DataFrame) -> DataFrame:
