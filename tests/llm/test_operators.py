@@ -11,10 +11,11 @@ from fractions import Fraction
 import numpy as np
 import public_tokenizers
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tillscope.llm import chat, classifier, decontaminate, mixing, quality_rules, shards, simhash, token_blocks, token_counts, tokens, warc
+from tillscope.llm import chat, classifier, decontaminate, mixing, quality_rules, queries, shards, simhash, token_blocks, token_counts, tokens, warc
 from tillscope.llm.common import join_small, running
 from tillscope.session import fresh_path, settle
 
@@ -496,6 +497,12 @@ def test_warc_round_trip(spark):
     assert warc.pages_read(warc.write_archives(warc.decided(pages.limit(0)), fresh_path(spark, "none")), folder).count() == 0
 
 
+def test_archives_against_sql(spark):
+    from check import compare, duck
+
+    assert compare(queries.op8_warc(spark, SMALL), duck(SMALL), queries.oracle_sql()["op8_warc"]) == ""
+
+
 # 9. Classifier
 
 
