@@ -8,10 +8,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillscope.llm import chat, classifier, decontaminate, mixing, quality_rules, shards, simhash, token_blocks, token_counts, warc
+from tillscope.llm import (
+    align,
+    chat,
+    classifier,
+    decontaminate,
+    mixing,
+    quality_rules,
+    repair,
+    shards,
+    simhash,
+    substrings,
+    token_blocks,
+    token_counts,
+    warc,
+)
 from tillscope.session import fresh_path, settle
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +92,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substrings.removed(_table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align.aligned(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audited(_table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -94,6 +123,9 @@ QUERIES = (
     op8_warc,
     op9_quality_classifier,
     op10_simhash,
+    op11_substrings,
+    op12_alignment,
+    op13_repair,
     pipeline,
 )
 
@@ -117,5 +149,26 @@ FROM joined
 """
 
 
+OP11_SQL = r"""
+WITH words AS (
+  SELECT doc_id, file_row_number AS row, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT doc_id, text, row_number() OVER () AS file_row_number FROM documents)
+), windows AS (
+  SELECT doc_id, row, pos, array_to_string(w[pos:pos + 12], ' ') AS said
+  FROM (SELECT doc_id, row, w, unnest(range(1, len(w) - 11)) AS pos FROM words WHERE len(w) >= 13)
+), first AS (
+  SELECT said, min(doc_id) AS least FROM windows GROUP BY said
+), gone AS (
+  SELECT DISTINCT row, unnest(range(pos, pos + 13)) AS pos FROM windows JOIN first USING (said) WHERE least < doc_id
+), single AS (
+  SELECT row, pos, w[pos] AS word FROM (SELECT row, w, unnest(range(1, len(w) + 1)) AS pos FROM words)
+), kept AS (
+  SELECT row, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS said FROM single ANTI JOIN gone USING (row, pos) GROUP BY row
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(said, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (row)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": OP8_SQL}
+    return {"op8_warc": OP8_SQL, "op11_substrings": OP11_SQL}

@@ -45,10 +45,14 @@ class _Numbers(dict):
 
 
 class Encoder:
-    """Ids or counts of texts; ``path`` names a .json (tokenizers) or .model (sentencepiece) file."""
+    """Ids or counts of texts; ``path`` names a .json (tokenizers) or .model (sentencepiece) file.
 
-    def __init__(self, path: str, ids: bool):
+    With ``plain_specials`` the strings of special tokens inside texts are ordinary text.
+    """
+
+    def __init__(self, path: str, ids: bool, plain_specials: bool = False):
         self.path, self.ids, self.split, self.safe = path, ids, False, None
+        self.table_entries = TABLE_ENTRIES
         self._forget()
         if path.endswith(".model"):
             import sentencepiece
@@ -62,6 +66,7 @@ class Encoder:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
+        tokenizer.encode_special_tokens = plain_specials
         self.encode = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         spec = json.loads(tokenizer.to_str())
         before = spec["pre_tokenizer"] or {}
@@ -70,7 +75,7 @@ class Encoder:
         byte_level = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
         self.split = bool(byte_level and plain and spec["normalizer"] is None)
         if self.split:
-            special = "|".join(re.escape(a["content"]) for a in added.values())
+            special = "" if plain_specials else "|".join(re.escape(a["content"]) for a in added.values())
             no_special = rf"(?!{special})" if special else ""
             self.breaks = re.compile(rf"(?=[ \n]{no_special}\S)")
             self.safe = re.compile(rf" |\n?{no_special}\S")
@@ -147,7 +152,7 @@ class Encoder:
             yield from self._group(group)
 
     def _group(self, group: list[str]) -> Iterator:
-        if len(self.numbers) > TABLE_ENTRIES or not self.split:
+        if len(self.numbers) > self.table_entries or not self.split:
             self._forget()
         number = self.numbers.__getitem__
         parts = []
