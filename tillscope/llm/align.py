@@ -367,7 +367,8 @@ def merge_level(runs: DataFrame, folder: str, groups: int, last: bool) -> DataFr
         return pd.DataFrame({"bucket": [bucket], "file": [out.close()]})
 
     dealt = runs.withColumn("group", F.pmod(F.hash("file"), F.lit(groups)))
-    return settle(dealt.groupBy("bucket", "group").applyInPandas(merge, "bucket int, file string"))
+    spread = dealt.repartition(RADIX * groups, "bucket", "group")  # by number: the rows are a few names, the work is in the files
+    return settle(spread.groupBy("bucket", "group").applyInPandas(merge, "bucket int, file string"))
 
 
 def totals(manifest: DataFrame, folder: str, fan: int = FAN) -> list[str]:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Mapping, Sequence
 
+import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,13 @@ def tagged(df: DataFrame) -> DataFrame:
     return settle(df.withColumn(ROW, F.monotonically_increasing_id()))
 
 
+def keeping_columns(docs: DataFrame, used: Sequence[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` on ``docs`` with all columns but ``used`` under names that clash with none of its own; the result has the columns of ``docs``."""
+    aside = {c: f"_aside_{i}" for i, c in enumerate(docs.columns) if c not in used}
+    out = work(docs.select(*[F.col(f"`{c}`").alias(aside.get(c, c)) for c in docs.columns]))
+    return out.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
+
+
 def running(
     df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mapping[str, str], slices: int | None = None
 ) -> DataFrame:
@@ -68,3 +77,12 @@ def open_store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     if path.startswith("file:"):
         path = "/" + path.removeprefix("file:").lstrip("/")
     return pyarrow.fs.FileSystem.from_uri(path)
+
+
+def release() -> None:
+    """Give what a task has freed back to the system: a Python worker is used again from stage to stage, and its memory counts."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library

@@ -2,16 +2,17 @@
 
 Terms are lower-case words without ASCII punctuation, hashed into 2^16 places; document frequencies count the passages of the whole
 corpus: windows of 48 words, 24 apart. Each benchmark item is one passage, whatever its length. Items are dealt into blocks of about
-256 windows, and each block gets a randomised SVD of its TF-IDF rows, taken at length one (a distributed job over blocks, written to
-the shared folder). Every single item keeps all but ENERGY of its energy in its block's latent space. Each half window of the corpus is
-folded into the space of every block, one block in memory at a time, and the products with an item are summed over runs of
-halves.
+PER_BLOCK windows, and each block gets a randomised SVD of its TF-IDF rows, taken at length one (a distributed job over blocks,
+written to the shared folder). Every single item keeps all but ENERGY of its energy in its block's latent space.
 
 A stretch of a text, a quarter longer than the item, holds an item if their longest common subsequence is STRONG of the item's words,
 or WEAK of them and ANSWER of its answer (its last words, unless the benchmark has an answer column). A stretch that could
-pass holds WEAK of the item's words, so the run it lies in has at least the product of the item with its lightest words of that
-number. The stretches of the runs that reach this, less what the latent space leaves out, are checked: no stretch that would pass is
-lost in the search.
+pass holds WEAK of the item's words. So it holds at least HITS of the item's rarest words, taken so many that the others are HITS
+fewer than those it may lack: lists of the items by their rarest words tell which halves of windows of the corpus a run that could
+pass may begin in, and only those are folded into the latent space of the item's block. And the run has at least the product of
+the item with its lightest words of that number. The stretches of the runs that reach this, less what the latent space leaves
+out, are checked: no stretch that would pass is lost in the search. The work goes by the words that a text shares with the rare ones of
+items, not by the number of items.
 """
 
 from __future__ import annotations
@@ -23,18 +24,20 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tillscope.llm.common import open_store, running
+from tillscope.llm.common import keeping_columns, open_store, release, running
 from tillscope.session import fresh_path, settle
 
 PLACES = 1 << 16
 STEP = 24  # a window is two steps
-PER_BLOCK = 256
+PER_BLOCK = 64
+SHARD_BLOCKS = 64
+HITS = 3
+LOADED_BYTES = 48 << 20
 OVERSAMPLE = 8
 ENERGY = 1e-4
 STRONG, WEAK, ANSWER = 0.8, 0.6, 0.75
@@ -43,7 +46,7 @@ GROUP_CHARS = 350_000
 PART = 4096
 RADIX = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2 ** 64
 HASHED = 1 << 16
-HITS = "array<struct<item_id:bigint,cosine:double,lcs:double,answer:double>>"
+LEAKS = "array<struct<item_id:bigint,cosine:double,lcs:double,answer:double>>"
 _CLEAN = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 
 
@@ -63,7 +66,7 @@ def _powers(n: int) -> np.ndarray:
     global _POWERS
     if _POWERS.shape[1] < n:
         steps = np.array([[RADIX], [pow(RADIX, -1, 1 << 64)]], np.uint64)
-        _POWERS = np.hstack([np.ones((2, 1), np.uint64), np.cumprod(np.repeat(steps, max(n, 1 << 20), axis=1), axis=1, dtype=np.uint64)])
+        _POWERS = np.hstack([np.ones((2, 1), np.uint64), np.cumprod(np.repeat(steps, max(n, 1 << 19), axis=1), axis=1, dtype=np.uint64)])
     return _POWERS
 
 
@@ -213,8 +216,25 @@ def lightest(tf: np.ndarray, idf: np.ndarray) -> float:
     return float(each[: math.ceil(WEAK * len(each) - 1e-9)].sum())
 
 
+def rarest(place: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, int]:
+    """The rarest places of an item, and how many of their words any stretch that passes holds at least."""
+    m = int(tf.sum())
+    must = math.ceil(WEAK * m - 1e-9)
+    least = min(HITS, must)
+    order = np.argsort(-idf[place], kind="stable")
+    n = int(np.searchsorted(np.cumsum(tf[order]), m - must + least)) + 1
+    return place[order[:n]], least
+
+
+def _joined(texts: list[list[bytes]]) -> dict[str, np.ndarray]:
+    """Word lists as one run of bytes with offsets, so that a long one takes no more than its own room."""
+    raw = [b" ".join(w) for w in texts]
+    return {"raw": np.frombuffer(b"".join(raw), np.uint8), "ends": np.cumsum([0, *map(len, raw)])}
+
+
 def fit(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, answer_col: str | None) -> list[str]:
-    """Write the term weights and one file per block of benchmark items to the shared folder; their paths, weights first.
+    """Write the term weights, a file per block of benchmark items and lists of the items by rare words to the shared folder; the paths of
+    the weights and the lists.
 
     Items without words cannot be searched and are left out.
     """
@@ -233,39 +253,64 @@ def fit(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, ite
         ).withColumn("passages", F.greatest(F.lit(1), F.regexp_count("text", F.lit(r"\w+")) / STEP).cast("int"))
     )
     dealt = running(items, ["all"], ["item", "text", "answer"], {"before": "passages"})
-    blocked = dealt.withColumn("block", F.expr(f"before div {PER_BLOCK}"))
+    blocked = dealt.withColumn("block", F.expr(f"before div {PER_BLOCK}")).withColumn("shard", F.expr(f"block div {SHARD_BLOCKS}"))
 
-    def fit_block(rows: pd.DataFrame) -> pd.DataFrame:
+    def fit_block(rows: pa.Table) -> pa.Table:
         idf = _load(f"{folder}/weights.npz")["idf"]
-        texts = [words_of(t) for t in rows["text"]]
-        text, place, tf = _whole(_places(rows["text"].tolist()))
+        items, held, given = (rows.column(c).to_pylist() for c in ("item", "text", "answer"))
+        texts = [words_of(t) for t in held]
+        text, place, tf = _whole(_places(held))
         used, column = np.unique(place, return_inverse=True)
         matrix = np.zeros((len(texts), max(1, len(used))))
         matrix[text, column] = tf * idf[place]
         basis = randomised_svd(matrix)
         latent = matrix @ basis
         size = np.sqrt((matrix**2).sum(axis=1))
-        least = [lightest(tf[text == k], idf[place[text == k]]) for k in range(len(texts))]
-        ok = size > 0
+        of = np.split(np.arange(len(text)), np.searchsorted(text, np.arange(1, len(texts))))
+        signs = [rarest(place[k], tf[k], idf) if len(k) else (np.zeros(0, np.int64), 0) for k in of]
         path = f"{folder}/block-{uuid.uuid4().hex}.npz"
-        answers = [words_of(a) if a is not None and a == a else w[-ANSWER_WORDS:] for a, w in zip(rows["answer"], texts)]
+        answers = [words_of(a) if a is not None else w[-ANSWER_WORDS:] for a, w in zip(given, texts)]
+        words, ends = _joined(texts), _joined(answers)
         _save(
             path,
             used=used,
             basis=np.ascontiguousarray(basis[: len(used)] * idf[used][:, None], np.float32),  # rows are taken
-            latent=latent[ok].astype(np.float32),
-            size=size[ok].astype(np.float32),
-            lost=np.sqrt(np.maximum(size**2 - (latent**2).sum(axis=1), 0))[ok].astype(np.float32),
-            least=np.array(least)[ok],
-            of=np.nonzero(ok)[0],
-            item=rows["item"].fillna(-1).to_numpy(np.int64),
-            words=np.array([b" ".join(w).decode() for w in texts]),
-            answers=np.array([b" ".join(w).decode() for w in answers]),
+            latent=latent.astype(np.float32),
+            size=size.astype(np.float32),
+            lost=np.sqrt(np.maximum(size**2 - (latent**2).sum(axis=1), 0)).astype(np.float32),
+            least=np.array([lightest(tf[k], idf[place[k]]) for k in of]),
+            item=np.array([i or 0 for i in items], np.int64),
+            known=np.array([i is not None for i in items]),
+            words=words["raw"], word_ends=words["ends"], answers=ends["raw"], answer_ends=ends["ends"],
+            signs=np.concatenate([np.zeros(0, np.int64), *(p for p, _ in signs)]),
+            sign_of=np.repeat(np.arange(len(signs)), [len(p) for p, _ in signs]),
+            hits=np.array([n for _, n in signs], np.int64),
+            runs=np.array([run_of(len(w)) for w in texts], np.int64),
+        )
+        return pa.table({"shard": pa.array([rows.column("shard")[0].as_py()], pa.int64()), "path": [path]})
+
+    def list_shard(rows: pa.Table) -> pa.Table:
+        """Of the items of some blocks, those with each place among their rarest."""
+        paths = sorted(rows.column("path").to_pylist())
+        parts = [_read(p, "signs", "sign_of", "hits", "runs") for p in paths]
+        first = np.cumsum([0, *(len(p["hits"]) for p in parts)])
+        places = np.concatenate([p["signs"] for p in parts])
+        order = np.argsort(places, kind="stable")
+        out = f"{folder}/list-{uuid.uuid4().hex}.npz"
+        _save(
+            out,
+            paths=np.array(paths),
+            first=first,
+            begins=np.searchsorted(places[order], np.arange(PLACES + 1)),
+            items=np.concatenate([p["sign_of"] + f for p, f in zip(parts, first)])[order].astype(np.int32),
+            hits=np.concatenate([p["hits"] for p in parts]),
+            runs=np.concatenate([p["runs"] for p in parts]),
         )
-        return pd.DataFrame({"path": [path]})
+        return pa.table({"path": [out]})
 
-    listed = settle(blocked.groupBy("block").applyInPandas(fit_block, "path string"))
-    return [f"{folder}/weights.npz", *sorted(r.path for r in listed.collect())]  # one row per PER_BLOCK passages
+    blocks = settle(blocked.groupBy("block").applyInArrow(fit_block, "shard long, path string"))
+    lists = settle(blocks.groupBy("shard").applyInArrow(list_shard, "path string"))
+    return [f"{folder}/weights.npz", *sorted(r.path for r in lists.collect())]  # one row per PER_BLOCK x SHARD_BLOCKS passages
 
 
 def _save(path: str, **arrays) -> None:
@@ -279,27 +324,27 @@ def _save(path: str, **arrays) -> None:
 _LOADED: dict[str, dict] = {}
 
 
+def _read(path: str, *names: str) -> dict:
+    store, name = open_store(path)
+    with store.open_input_file(name) as source, np.load(io.BytesIO(source.read())) as file:
+        return {n: file[n] for n in names or file.files}
+
+
 def _load(path: str) -> dict:
-    """At most four files are kept in a worker."""
+    """Files of up to LOADED_BYTES together are kept in a worker until its task ends; a larger one by itself."""
     if path not in _LOADED:
-        while len(_LOADED) >= 4:
+        found = _read(path)
+        found["bytes"] = sum(a.nbytes for a in found.values())
+        while _LOADED and found["bytes"] + sum(f["bytes"] for f in _LOADED.values()) > LOADED_BYTES:
             _LOADED.pop(next(iter(_LOADED)))
-        store, name = open_store(path)
-        with store.open_input_file(name) as source:
-            _LOADED[path] = dict(np.load(io.BytesIO(source.read())))
+        _LOADED[path] = found
     return _LOADED[path]
 
 
-def _block(path: str) -> dict:
-    block = _load(path)
-    if "row_of" not in block:
-        block["row_of"] = np.full(PLACES, -1, np.int32)
-        block["row_of"][block["used"]] = np.arange(len(block["used"]))
-        block["texts"] = [w.encode().split() for w in block["words"].tolist()]
-        block["ends"] = [w.encode().split() for w in block["answers"].tolist()]
-        block["times"] = [Counter(w) for w in block["texts"]]
-        block["runs"] = np.array([run_of(len(block["texts"][k])) for k in block["of"]], np.int64)
-    return block
+def _item(block: dict, k: int) -> tuple[list[bytes], list[bytes], Counter]:
+    """Words, answer and word counts of an item."""
+    words = block["words"][block["word_ends"][k] : block["word_ends"][k + 1]].tobytes().split()
+    return words, block["answers"][block["answer_ends"][k] : block["answer_ends"][k + 1]].tobytes().split(), Counter(words)
 
 
 def common_share(pattern: list[bytes], words: list[bytes]) -> float:
@@ -379,26 +424,47 @@ def checked(item: list[bytes], answer: list[bytes], times: Counter, words: list[
     return best
 
 
-def _summed(dots: np.ndarray, run: int) -> np.ndarray:
-    """Sums of each row and the ``run`` - 1 after it."""
-    n = len(dots)
-    if run > 8:
-        upto = np.concatenate([np.zeros((1, *dots.shape[1:])), np.cumsum(dots, axis=0, dtype=np.float64)])
-        return upto[np.minimum(np.arange(n) + run, n)] - upto[:n]
-    out = dots.copy()
-    for i in range(1, min(run, n)):
-        out[:-i] += dots[i:]
-    return out
-
+def _listed(index: dict, every: np.ndarray, cell: np.ndarray, of: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Items, and halves that a run with enough of their rarest words may begin in.
 
-def near(block: dict, half: np.ndarray, norms: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Halves and items of a block: the stretches that start in the half may hold the item."""
-    dots = half @ block["latent"].T
-    for run in np.unique(block["runs"]).tolist():
-        these = np.nonzero(block["runs"] == run)[0]
-        least = 0.999 * block["least"][these][None, :] - block["lost"][these][None, :] * _summed(norms, run)[:, None]
-        at, which = np.nonzero(_summed(dots[:, these], run) >= least)
-        yield from zip(at.tolist(), these[which].tolist())
+    ``every`` and ``cell`` are the place and half of each word of some texts, ``of`` the text of each half, ``first`` the first half of each text.
+    """
+    sizes = index["begins"][every + 1] - index["begins"][every]
+    some = np.flatnonzero(sizes)
+    sizes = sizes[some]
+    within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    item = index["items"][np.repeat(index["begins"][every[some]], sizes) + within].astype(np.int64)
+    at = np.repeat(cell[some], sizes)
+    order = np.lexsort((at, item))
+    item, at = item[order], at[order]
+    back = np.arange(len(item)) - (index["hits"][item] - 1)
+    run = index["runs"][item]
+    ok = back >= 0
+    back = np.where(ok, back, 0)
+    ok &= (item[back] == item) & (at - at[back] < run) & (of[at[back]] == of[at])
+    item, last, low = item[ok], at[back][ok], np.maximum(at - run + 1, first[of[at]])[ok]
+    n = last - low + 1
+    starts = np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    keys = np.unique(np.repeat(item, n) * len(of) + starts)
+    return keys // max(1, len(of)), keys % max(1, len(of))
+
+
+def near(block: dict, items: np.ndarray, starts: np.ndarray, places: np.ndarray, cell: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """Whether the run of each item from each start has the product, in the block's latent space, of a stretch that could pass."""
+    n = len(norms)
+    ends = np.minimum(starts + block["runs"][items], n)
+    wanted = np.zeros(n + 1, np.int64)
+    np.add.at(wanted, starts, 1)
+    np.add.at(wanted, ends, -1)
+    row = np.full(PLACES, -1, np.int32)
+    row[block["used"]] = np.arange(len(block["used"]))
+    row = row[places]
+    inside = np.flatnonzero((row >= 0) & (np.cumsum(wanted)[:-1] > 0)[cell])
+    upto = np.zeros((n + 1, block["basis"].shape[1]))
+    np.cumsum(_folded(block["basis"], row[inside], cell[inside], n)[:n], axis=0, out=upto[1:])
+    lengths = np.concatenate([[0], np.cumsum(norms, dtype=np.float64)])
+    dots = np.einsum("ij,ij->i", upto[ends] - upto[starts], block["latent"][items])
+    return dots >= 0.999 * block["least"][items] - block["lost"][items] * (lengths[ends] - lengths[starts])
 
 
 def search(texts: list[str | None], paths: list[str]) -> list[list[dict]]:
@@ -410,51 +476,64 @@ def search(texts: list[str | None], paths: list[str]) -> list[list[dict]]:
         every = np.concatenate([np.empty(0, np.int64), *places])
         cell, first = _halves(places)
         n_cells = int(first[-1])
-        found, tf = np.unique(cell * PLACES + every, return_counts=True)
-        norms = np.sqrt(np.bincount(found // PLACES, (tf * idf[found % PLACES]) ** 2, minlength=n_cells)).astype(np.float32)
-        of = np.repeat(np.arange(len(group)), np.diff(first)).tolist()
-        best: dict[tuple[int, int], tuple] = {}
+        of = np.repeat(np.arange(len(group)), np.diff(first))
+        norms = None
+        best: dict[tuple, tuple] = {}
         words: dict[int, list[bytes]] = {}
         for path in paths[1:]:
-            block = _block(path)
-            row = block["row_of"][every]
-            inside = np.nonzero(row >= 0)[0]
-            if not len(inside) or not len(block["latent"]):
-                continue
-            half = _folded(block["basis"], row[inside], cell[inside], n_cells)[:n_cells]
-            for spot, q in near(block, half, norms):
-                doc, k = of[spot], int(block["of"][q])
-                key = (doc, int(block["item"][k]))
-                if best.get(key, (0.0,))[0] >= 1:
-                    continue
-                if doc not in words:
-                    words[doc] = words_of(group[doc])
-                begin = STEP * (spot - int(first[doc]))
-                hit = checked(block["texts"][k], block["ends"][k], block["times"][k], words[doc], begin, begin + STEP)
-                if hit and hit[0] > best.get(key, (0.0,))[0]:
-                    part = places[doc][hit[2] : hit[2] + stretch_of(len(block["texts"][k]))[0]]
-                    place, tf = np.unique(part, return_counts=True)
-                    rows = block["row_of"][place]
-                    dot = float((tf[rows >= 0] @ block["basis"][rows[rows >= 0]]) @ block["latent"][q])
-                    best[key] = (*hit[:2], dot / max(float(np.sqrt(((tf * idf[place]) ** 2).sum())) * float(block["size"][q]), 1e-9))
+            index = _load(path)
+            listed, starts = _listed(index, every, cell, of, first)
+            cuts = np.searchsorted(listed, index["first"])
+            if norms is None and len(listed):
+                found, tf = np.unique(cell * PLACES + every, return_counts=True)
+                norms = np.sqrt(np.bincount(found // PLACES, (tf * idf[found % PLACES]) ** 2, minlength=n_cells))
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
+                block = _load(str(index["paths"][b]))
+                these = slice(cuts[b], cuts[b + 1])
+                items, spots = listed[these] - index["first"][b], starts[these]
+                ok = near(block, items, spots, every, cell, norms)
+                k = None
+                for q, spot in zip(items[ok].tolist(), spots[ok].tolist()):
+                    doc = int(of[spot])
+                    key = (doc, int(block["item"][q]) if block["known"][q] else None)
+                    if best.get(key, (0.0,))[0] >= 1:
+                        continue
+                    if doc not in words:
+                        words[doc] = words_of(group[doc])
+                    if q != k:
+                        k, (item, answer, times) = q, _item(block, q)
+                    begin = STEP * (spot - int(first[doc]))
+                    hit = checked(item, answer, times, words[doc], begin, begin + STEP)
+                    if hit and hit[0] > best.get(key, (0.0,))[0]:
+                        best[key] = (*hit[:2], _cosine(block, q, places[doc][hit[2] : hit[2] + stretch_of(len(item))[0]], idf))
         hits: list[list[dict]] = [[] for _ in group]
-        for (doc, item), (lcs, answer, cosine) in sorted(best.items()):
+        for (doc, item), (lcs, answer, cosine) in sorted(best.items(), key=lambda x: (x[0][0], x[0][1] is not None, x[0][1] or 0)):
             hits[doc].append({"item_id": item, "cosine": round(min(cosine, 1.0), 6), "lcs": round(lcs, 6), "answer": round(answer, 6)})
         out += hits
     return out
 
 
+def _cosine(block: dict, q: int, part: np.ndarray, idf: np.ndarray) -> float:
+    """Cosine in the latent space of an item and the places of a stretch."""
+    place, tf = np.unique(part, return_counts=True)
+    row = np.searchsorted(block["used"], place)
+    row[row == len(block["used"])] = 0
+    mine = block["used"][row] == place
+    dot = float((tf[mine] @ block["basis"][row[mine]]) @ block["latent"][q])
+    return dot / max(float(np.sqrt(((tf * idf[place]) ** 2).sum())) * float(block["size"][q]), 1e-9)
+
+
 def with_leaks(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     answer_col: str | None = None, leaks_col: str = "leaks",
 ) -> DataFrame:
     """``docs`` with the array of benchmark items found in each text; no row is moved, so ids may repeat or be null.
 
-    Null and empty texts have none, an empty benchmark finds none; a null item id is shown as -1. A column of that name is replaced.
+    Null and empty texts have none, an empty benchmark finds none; an item without id is shown with a null. A column of that name is replaced.
     """
     paths = fit(docs, benchmark, text_col, item_col, item_text_col, answer_col)
     kept = docs.drop(leaks_col)
-    schema = StructType([*kept.schema.fields, *StructType.fromDDL(f"{leaks_col} {HITS}").fields])
+    schema = StructType([*kept.schema.fields, *StructType.fromDDL(f"{leaks_col} {LEAKS}").fields])
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer", pa.float64())]))
     names = [*kept.columns, leaks_col]
     at = names.index(text_col)
@@ -463,10 +542,16 @@ def with_leaks(
         for batch in batches:
             found = search(batch.column(at).to_pylist(), paths)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names)
+        _LOADED.clear()
+        release()
 
     return kept.mapInArrow(look, schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents in which no benchmark item is found."""
-    return with_leaks(docs, benchmark, leaks_col="_leaks", **options).where("size(_leaks) = 0").select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The documents in which no benchmark item is found, with all their columns."""
+
+    def work(docs: DataFrame) -> DataFrame:
+        return with_leaks(docs, benchmark, text_col, leaks_col="_leaks", **options).where("size(_leaks) = 0")
+
+    return keeping_columns(docs, (text_col,), work)

@@ -2,9 +2,9 @@
 
 Each rule rejects a document whose value (per mille) exceeds a cutoff of a fixed grid. Per stratum, the labelled good
 documents it would reject are counted, and a cutoff is certified where the exact binomial tail P(Bin(n, risk) <= k)
-is at most delta over the number of all (stratum, rule, cutoff) hypotheses (Bonferroni). Hence, with probability 1 - delta,
-every certified rule in every stratum falsely rejects at most ``risk`` of the good documents, and all rules together at most
-rules x risk. Of the certified cutoffs the one with the most labelled bad documents over good ones is taken.
+is at most delta over the number of all (stratum, rule, cutoff) hypotheses (Bonferroni), each rule having an equal share of
+the stratum's risk. Hence, with probability 1 - delta, all certified rules together falsely reject at most ``risk`` of the good
+documents of every stratum. Of the certified cutoffs the one with the most labelled bad documents over good ones is taken.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tillscope.llm.common import WORD, join_small, let
+from tillscope.llm.common import WORD, join_small, keeping_columns, let
 from tillscope.session import settle
 
 SYMBOLS = "#*$%&|<>"
@@ -31,7 +31,7 @@ RULES: dict[str, tuple[str, str, Sequence[int]]] = {
     "capitals": ("n_capitals", "word_chars", (900, 800, 700, 600, 500, 400, 300, 250, 200, 150)),
     "dup_lines": ("n_dup_lines", "n_lines", (900, 800, 700, 600, 500, 400, 300, 250, 200, 150)),
 }
-RISK = 0.02
+RISK = 0.06  # of a stratum, shared by the rules
 DELTA = 0.05
 
 
@@ -157,7 +157,7 @@ def cutoffs(
         )
     )
     hypotheses = max(1, tested.count())
-    certified = tested.where(binomial_tail(F.col("k"), F.col("n"), risk) <= delta / hypotheses).where("caught > 0")
+    certified = tested.where(binomial_tail(F.col("k"), F.col("n"), risk / len(rules)) <= delta / hypotheses).where("caught > 0")
     best = Window.partitionBy("stratum", "rule").orderBy(F.desc(F.col("caught") - F.col("k")), F.desc("cut"))
     chosen = certified.withColumn("rank", F.row_number().over(best)).where("rank = 1")
     cuts = F.map_from_entries(F.array_sort(F.collect_list(F.struct("rule", "cut"))))
@@ -172,3 +172,28 @@ def judged(counted: DataFrame, cuts: DataFrame, stratum_col: str = "lang", rules
     for rule, (num, den, _) in rules.items():
         broken = broken | F.coalesce(_value(num, den) > F.col("cuts")[rule], F.lit(False))
     return joined.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & ~broken}).drop("stratum", "cuts")
+
+
+TEXT_HASHES = ("_text_1", "_text_2")
+
+
+def passed(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", limit: int = 400_000) -> DataFrame:
+    """The documents that the rules keep, with the columns of ``docs``.
+
+    The counts are made once. A verdict is that of a text in a stratum, so what is rejected is told by the stratum and two
+    64-bit hashes of the text, each once; up to ``limit`` of them are broadcast and no text is moved, beyond that texts meet them
+    by a shuffle.
+    """
+
+    def work(docs: DataFrame) -> DataFrame:
+        hashes = {TEXT_HASHES[0]: F.xxhash64(F.col(text_col)), TEXT_HASHES[1]: F.xxhash64(F.lit(1), F.col(text_col))}
+        stratum = F.coalesce(F.concat(F.lit("="), F.col(stratum_col)), F.lit("null"))
+        told = docs.withColumns({**hashes, "_stratum": stratum})
+        counted = settle(measured(told.select(id_col, stratum_col, text_col, "_stratum", *hashes), text_col).drop(text_col))
+        verdicts = judged(counted, cutoffs(counted, labels, id_col, stratum_col), stratum_col)
+        keys = ["_stratum", *hashes]
+        rejected = settle(verdicts.where("not kept").select(*keys).distinct())
+        few = rejected.limit(limit + 1).count() <= limit
+        return told.join(F.broadcast(rejected) if few else rejected, keys, "left_anti")
+
+    return keeping_columns(docs, (id_col, text_col, stratum_col), work)

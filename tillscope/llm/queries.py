@@ -16,6 +16,7 @@ from tillscope.llm import (
     mixing,
     quality_rules,
     repair,
+    repair_sql,
     shards,
     simhash,
     substrings,
@@ -171,4 +172,4 @@ FROM words LEFT JOIN kept USING (row)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": OP8_SQL, "op11_substrings": OP11_SQL}
+    return {"op8_warc": OP8_SQL, "op11_substrings": OP11_SQL, "op13_repair": repair_sql.SQL}

@@ -71,19 +71,23 @@ def _smallest(ends: Column, low: int, high: int, total: int, shards: int) -> Col
 
 
 def _cuts(ends: Column, capacity: int, total: int, shards: int) -> Column:
-    """The end of every shard."""
+    """The end of every shard: of the two ends around the fair share of what is left, the nearer that leaves the rest feasible."""
     zero = F.struct(_long(0).alias("at"), F.array().cast("array<bigint>").alias("all"))
 
     def cut(s: Column, i: Column) -> Column:
         at, left = s["at"], F.lit(shards) - i + 1
         aim = at + F.ceil((_long(total) - at) / left).cast("bigint")
-        fair = F.try_element_at(F.filter(ends, lambda e: e >= aim), F.lit(1))
+        above = F.coalesce(F.try_element_at(F.filter(ends, lambda e: e >= aim), F.lit(1)), _long(total))
 
-        def choose(c: Column) -> Column:
-            fits = (c <= at + capacity) & (_greedy(ends, _long(capacity), c, left - 1) >= total)
-            return F.when(fits, c).otherwise(_at_most(ends, at + capacity, at))
+        def fits(c: Column) -> Column:
+            return (c > at) & (c <= at + capacity) & (_greedy(ends, _long(capacity), c, left - 1) >= total)
 
-        chosen = let(F.coalesce(fair, _long(total)), choose)
+        def choose(two: Column) -> Column:
+            below, over = two["below"], two["over"]
+            nearer = (aim - below <= over - aim) & fits(below)
+            return F.when(nearer, below).when(fits(over), over).otherwise(_at_most(ends, at + capacity, at))
+
+        chosen = let(F.struct(_at_most(ends, aim - 1, at).alias("below"), above.alias("over")), choose)
         return let(chosen, lambda x: F.struct(x.alias("at"), F.concat(s["all"], F.array(x)).alias("all")))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), zero, cut, lambda s: s["all"])

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.llm.common import ROW, tagged
+from tillscope.llm.common import ROW, keeping_columns, release, tagged
 from tillscope.llm.components import components
 from tillscope.session import settle
 
@@ -51,6 +51,7 @@ def fingerprints(text: Column, shingle: int = 3) -> Column:
         for texts in batches:
             found = np.fromiter((fingerprint(t, shingle) for t in texts), dtype=np.uint64, count=len(texts))
             yield pd.Series(found.view(np.int64))
+        release()
 
     return of(text)
 
@@ -121,8 +122,11 @@ def labels(rows: DataFrame, id_col: str, radius: int) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """The one document of each component that has the least id; among repeated ids or null ids, one of them."""
-    columns = [c for c in docs.columns if c not in ("fp", ROW)]
-    rows = tagged(docs.select(*columns).withColumn("fp", fingerprints(F.col(text_col), shingle)))
-    keep = labels(rows, id_col, radius).select(F.col("first_row").alias(ROW)).distinct()
-    return rows.join(keep, ROW, "left_semi").select(*columns)
+    """The one document of each component that has the least id; among repeated ids or null ids, one of them. All columns are kept."""
+
+    def work(docs: DataFrame) -> DataFrame:
+        rows = tagged(docs.withColumn("fp", fingerprints(F.col(text_col), shingle)))
+        keep = labels(rows, id_col, radius).select(F.col("first_row").alias(ROW)).distinct()
+        return rows.join(keep, ROW, "left_semi")
+
+    return keeping_columns(docs, (id_col, text_col), work)

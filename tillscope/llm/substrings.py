@@ -34,6 +34,7 @@ UNIT_WORDS = 1 << 20
 SHARD_WORDS = 1 << 16
 PART_KEYS = 1 << 21
 SALT_WORDS = 1 << 21
+UNITS_A_TASK = 2
 UNSHARED = -1
 NO_DOC = np.iinfo(np.int64).max
 
@@ -207,7 +208,7 @@ def _runs(table: pa.Table, size: int, flags: int = 1) -> Iterator[tuple[int, int
         yield name, n, body, -(-n // 8)
 
 
-def shared_grams(asked: DataFrame) -> DataFrame:
+def shared_grams(asked: DataFrame, tasks: int) -> DataFrame:
     """For each unit and part a bit a gram: whether another document has it."""
 
     def answer(table: pa.Table) -> pa.Table:
@@ -224,14 +225,14 @@ def shared_grams(asked: DataFrame) -> DataFrame:
         cuts = np.cumsum([0, *(n for _, n, _, _ in runs)])
         return _packed(unit=[r[0] for r in runs], part=[part] * len(runs), body=[np.packbits(found[s:e]).tobytes() for s, e in zip(cuts, cuts[1:])])
 
-    return asked.groupBy("part").applyInArrow(answer, "unit long, part int, body binary")
+    return asked.repartition(tasks, "part").groupBy("part").applyInArrow(answer, "unit long, part int, body binary")
 
 
 #: What is sent of a distinct window besides the bit of a twin in the unit: hash, least document, part of the unit.
 SENT = 8 + 8 + 2
 
 
-def ask_homes(replies: DataFrame, folder: str, parts: int, of_grams: int, seed: int, bits: int, shard_words: int) -> DataFrame:
+def ask_homes(replies: DataFrame, folder: str, parts: int, of_grams: int, seed: int, bits: int, shard_words: int, tasks: int) -> DataFrame:
     """The distinct windows left in each unit, a row for each part of the hash."""
 
     def ask(table: pa.Table) -> pa.Table:
@@ -248,10 +249,10 @@ def ask_homes(replies: DataFrame, folder: str, parts: int, of_grams: int, seed:
             bodies.append(b"".join([np.packbits(place.twice[s:e]).tobytes(), place.keys[s:e].tobytes(), docs[s:e].tobytes(), subs[s:e].tobytes()]))
         return _packed(unit=[name] * len(some), part=some, body=bodies)
 
-    return replies.groupBy("unit").applyInArrow(ask, "unit long, part int, body binary")
+    return replies.repartition(tasks, "unit").groupBy("unit").applyInArrow(ask, "unit long, part int, body binary")
 
 
-def homes(asked: DataFrame) -> DataFrame:
+def homes(asked: DataFrame, tasks: int) -> DataFrame:
     """For each unit and part, by window: the home of the least document that holds it, none where no other document does.
 
     A body is the number of homes, the homes, then for each window the place of its home among them and the part of the home.
@@ -282,7 +283,7 @@ def homes(asked: DataFrame) -> DataFrame:
             bodies.append(b"".join([np.array([len(some)], "<i8").tobytes(), names[some].tobytes(), own.tobytes(), sub[s:e].tobytes()]))
         return _packed(unit=names.tolist(), part=[part] * len(runs), body=bodies)
 
-    return asked.groupBy("part").applyInArrow(answer, "unit long, part int, body binary")
+    return asked.repartition(tasks, "part").groupBy("part").applyInArrow(answer, "unit long, part int, body binary")
 
 
 # Suffix automata
@@ -383,7 +384,7 @@ def _stretches(at: np.ndarray, *same: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def shards_and_texts(
-    grams: DataFrame, found: DataFrame, folder: str, of_grams: int, of_windows: int, seed: int, bits: int, shard_words: int
+    grams: DataFrame, found: DataFrame, folder: str, of_grams: int, of_windows: int, seed: int, bits: int, shard_words: int, tasks: int
 ) -> DataFrame:
     """Rows ``home, sub, kind, unit, words, body``: the file of an automaton, or stretches of a unit to stream against it."""
 
@@ -441,10 +442,11 @@ def shards_and_texts(
         return _packed(**rows)
 
     schema = "home long, sub int, kind int, unit long, words long, body binary"
-    return settle(grams.groupBy("unit").cogroup(found.groupBy("unit")).applyInArrow(lay_out, schema))
+    one, two = (df.repartition(tasks, "unit").groupBy("unit") for df in (grams, found))
+    return settle(one.cogroup(two).applyInArrow(lay_out, schema))
 
 
-def matched(laid: DataFrame, folder: str, salt_words: int = SALT_WORDS) -> DataFrame:
+def matched(laid: DataFrame, folder: str, tasks: int, salt_words: int = SALT_WORDS) -> DataFrame:
     """Per unit and shard, spans of words to remove, as pairs of positions, and the windows that the shard does not hold."""
     texts = laid.where(F.col("kind") == TEXT)
     loads = texts.groupBy("home", "sub").agg(F.sum("words").alias("load")).where(F.col("load") > salt_words)
@@ -453,7 +455,7 @@ def matched(laid: DataFrame, folder: str, salt_words: int = SALT_WORDS) -> DataF
     own = join_small(texts, hot, ["home", "sub"]).withColumn("salt", F.pmod(F.hash("unit"), salts))
     tools = join_small(laid.where(F.col("kind") == AUTOMATON), hot, ["home", "sub"]).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     columns = ["home", "sub", "salt", "kind", "unit", "body"]
-    ordered = tools.select(*columns).unionByName(own.select(*columns)).repartition("home", "sub", "salt").sortWithinPartitions("home", "sub", "salt", "kind")
+    ordered = tools.select(*columns).unionByName(own.select(*columns)).repartition(tasks, "home", "sub", "salt").sortWithinPartitions("home", "sub", "salt", "kind")
     kinds = pa.schema([("unit", pa.int64()), ("spans", pa.binary()), ("unsure", pa.binary())])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -485,14 +487,19 @@ def matched(laid: DataFrame, folder: str, salt_words: int = SALT_WORDS) -> DataF
     return settle(ordered.select("kind", "unit", "body").mapInArrow(stream, "unit long, spans binary, unsure binary"))
 
 
-def located(units: DataFrame, folder: str, seed: int = 0, bits: int = 64, shard_words: int = SHARD_WORDS, part_keys: int = PART_KEYS) -> DataFrame:
-    """One round of the search, rows of ``matched``."""
+def located(
+    units: DataFrame, folder: str, tasks: int, seed: int = 0, bits: int = 64, shard_words: int = SHARD_WORDS, part_keys: int = PART_KEYS
+) -> DataFrame:
+    """One round of the search, rows of ``matched``. ``tasks`` is how many take units; rows are small and their work is in the files, so
+    the numbers of tasks are set by the words and not left to be made fewer by the rows' bytes.
+    """
     n_words = units.agg(F.sum("n_words")).first()[0] or 0
     least = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     of_grams, of_windows = max(least, -(-n_words // (4 * part_keys))), max(least, -(-n_words // part_keys))
-    grams = settle(shared_grams(ask_grams(units, folder, of_grams, seed, bits)))
-    found = homes(ask_homes(grams, folder, of_windows, of_grams, seed, bits, shard_words))
-    return matched(shards_and_texts(grams, found, folder, of_grams, of_windows, seed, bits, shard_words), folder)
+    grams = settle(shared_grams(ask_grams(units, folder, of_grams, seed, bits), of_grams))
+    asked = ask_homes(grams, folder, of_windows, of_grams, seed, bits, shard_words, tasks)
+    laid = shards_and_texts(grams, homes(asked, of_windows), folder, of_grams, of_windows, seed, bits, shard_words, tasks)
+    return matched(laid, folder, max(least, tasks))
 
 
 def removed(
@@ -508,12 +515,12 @@ def removed(
     folder = fresh_path(docs.sparkSession, "substrings")
     narrow = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
     units = write_units(narrow, folder, unit_words)
-    tasks = max(1, min(units.count(), 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    tasks = max(1, -(-units.count() // UNITS_A_TASK))
     units = settle(units.repartition(tasks))
-    rounds = [located(units, folder, 0, bits, shard_words, part_keys)]
+    rounds = [located(units, folder, tasks, 0, bits, shard_words, part_keys)]
     open_ = rounds[0].where("length(unsure) > 0")
     while not open_.isEmpty():
-        rounds.append(located(units, folder, len(rounds), min(64, bits + 8 * len(rounds)), shard_words, part_keys))
+        rounds.append(located(units, folder, tasks, len(rounds), min(64, bits + 8 * len(rounds)), shard_words, part_keys))
         windows = [r.where("length(unsure) > 0").select("unit", F.explode(positions("unsure")).alias("at")) for r in rounds]
         left = windows[0]
         for other in windows[1:]:
@@ -546,7 +553,7 @@ def removed(
         return pa.table(columns, names=["doc_id", "n_words", "n_removed", "kept", "spans"])
 
     schema = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<`from`:long,`to`:long>>"
-    return told.groupBy("unit").applyInArrow(clean, schema)
+    return told.repartition(tasks, "unit").groupBy("unit").applyInArrow(clean, schema)
 
 
 def positions(body: str) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tillscope.llm.common import open_store
+from tillscope.llm.common import open_store, release
 from tillscope.llm.tokens import encoder
 from tillscope.session import fresh_path, settle
 
@@ -209,6 +209,8 @@ def write_blocks(
                 writer = Writer(store.open_output_stream(f"{base}/{name}"))
             for doc, found in zip(ids, coder.of(t.as_py() or "" for t in texts)):
                 writer.add(doc, found + end)
+        coder.close()
+        release()
         if writer is not None:
             writer.close()
             row = {"file_no": [number], "file": [name], "n_docs": [len(writer.docs)], "n_ids": [writer.ids]}

@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 BATCH_BYTES = 1 << 20
-TABLE_ENTRIES = 800_000
+TABLE_ENTRIES = 150_000  # about 30 MB
 JOINED = 256
 UNSAFE = -1
 
@@ -88,6 +88,10 @@ class Encoder:
         self.numbers = _Numbers(self.safe)
         self.flat, self.ends = np.empty(0, "<u4"), np.zeros(1, np.int64)
 
+    def close(self) -> None:
+        """Drop the table, for the end of a task."""
+        self._forget()
+
     def keys(self, text: str) -> list[str]:
         """Keys of the pieces of ``text``, where every place before a space or line feed is safe."""
         if not self.split:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.llm.common import open_store
+from tillscope.llm.common import join_small, open_store
 from tillscope.session import settle
 
 SEGMENT_BYTES = 4096
@@ -115,7 +115,7 @@ def decided(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html"
     )
     long = F.octet_length("payload") >= MIN_REVISIT_BYTES
     firsts = rows.where(long).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    joined = rows.join(firsts.select("digest", "first"), "digest", "left")
+    joined = join_small(rows, settle(firsts.select("digest", "first")), ["digest"], limit=100_000)  # spread over salts beyond that
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "payload", "digest", F.when(again, F.col("first")).alias("refers_to"))
 
