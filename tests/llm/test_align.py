@@ -104,14 +104,20 @@ def test_merged_runs_are_sums():
     assert keys == sorted(set(keys)) and dict(zip(keys, (c for _, part in parts for c in part.tolist()))) == want
 
 
-def test_words_of_a_sentencepiece_model_are_encoded_alone():
-    side, whole = align.Pieces(B), sentencepiece.SentencePieceProcessor(model_file=B)
-    assert side.split
+def test_words_are_cut_as_in_their_text(monkeypatch):
+    """Any mix of spaces, line feeds and other white space, and a table that is full all the time."""
+    monkeypatch.setattr(align, "TABLE_WORDS", 40)
+    tool = align.Aligner(A, B)
+    assert tool.split
     rng = random.Random(8)
-    texts = [t for t in ODD if t] + ["".join(rng.choices("ab é\n1 .", k=rng.randrange(1, 60))) for _ in range(500)]
-    ids, counts = side.of(texts)
-    cuts = np.cumsum([0, *counts])
-    assert all(ids[s:e].tolist() == whole.encode(t) for t, s, e in zip(texts, cuts, cuts[1:]))
+    texts = [t or "" for t in ODD] + ["".join(rng.choices("ab é\n1 .c▁\u3000", weights=[9, 9, 9, 3, 1, 2, 5, 1, 5, 1, 1], k=rng.randrange(1, 60))) for _ in range(900)]
+    for at in range(0, len(texts), 30):
+        part = texts[at : at + 30]
+        counts, pairs, docs = tool.of(part)
+        whole = tool.cut(part, *tool.a.of(part), *tool.b.of(part))
+        assert counts["n_a"] == whole.n_a.tolist() and counts["n_b"] == whole.n_b.tolist() and counts["n_links"] == whole.n_groups.tolist()
+        assert counts["groups_sha256"] == [hashlib.sha256(w[:-1]).hexdigest() if w else "" for w in whole.written]
+        assert Counter(zip(docs.tolist(), pairs.tolist())) == Counter(zip(np.repeat(np.arange(len(part)), whole.n_groups).tolist(), whole.pairs.tolist()))
 
 
 def test_query_against_brute_force(spark):

@@ -17,6 +17,8 @@ import hashlib
 import heapq
 import io
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -24,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillscope.llm.common import release
 from tillscope.llm.frames import Frames, Opened, differences
 from tillscope.llm.tokens import Encoder
 from tillscope.session import fresh_path, settle
@@ -34,7 +37,8 @@ BLOCK = 1 << 15
 CHUNK_LINKS = 1 << 21
 CHUNK_DOCS = 1 << 16
 GROUP_CHARS = 1 << 20
-TABLE_BYTES = 24 << 20
+TABLE_WORDS = 120_000  # about 35 MB
+UNSAFE = -1
 A_BITS, DOC_BITS = 20, 20
 LOWER = "▁"
 NAMES = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
@@ -52,10 +56,10 @@ def byte_letters() -> dict[str, int]:
 
 
 class Pieces:
-    """Ids by a sentencepiece model, word by word where that is exact, with a table of words bounded by bytes.
+    """Ids by a sentencepiece model of whole texts, or of words where that is exact.
 
-    No piece holds a space after another character and the model leaves text as it is, so a place between a character and a
-    space is never inside a piece and the words between such places are encoded alone. Other models get whole texts.
+    Where no piece holds a space after another character and the model leaves text as it is, a place between a character and a
+    space is never inside a piece, so the words between such places can be encoded alone (``split``).
     """
 
     def __init__(self, path: str):
@@ -67,61 +71,22 @@ class Pieces:
         probe = "a  b \n cﬁ "
         kept = b"".join(self.bytes[i] for i in self.model.encode(probe, num_threads=1)).decode() == " " + probe
         self.split = kept and not any(" " in p.replace(LOWER, " ").lstrip(" ") for p in pieces)
-        self.space = self.model.piece_to_id(LOWER)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.held, self.flat, self.ends = 0, np.empty(0, "<u4"), np.zeros(1, np.int64)
-
-    def _keys(self, text: str) -> list[str]:
-        """Words of ``text``, each with the spaces before it but one, which the model puts there itself."""
-        if not self.split:
-            return [text]
-        words = text.split(" ")
-        if "" not in words:
-            return words
-        keys, spaces = [], ""
-        for word in words:
-            if word:
-                keys.append(spaces + word)
-                spaces = ""
-            else:
-                spaces += " "
-        return [*keys, spaces[1:]] if spaces else keys
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all ``texts`` one after another, and how many each has."""
-        if self.held > TABLE_BYTES:
-            self._forget()
-        keys = [self._keys(t) if t else [] for t in texts]
-        fresh = {k for ks in keys for k in ks if k not in self.numbers}
-        if fresh:
-            new = list(fresh)
-            found = [ids or [self.space] for ids in self.model.encode(new, num_threads=1)]
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            for k, number in zip(new, range(len(self.numbers), len(self.numbers) + len(new))):
-                self.numbers[k] = number
-            self.flat = np.concatenate([self.flat, *[np.array(f, "<u4") for f in found]])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
-            self.held += sum(map(len, new)) * 2 + 160 * len(new)
-        number = self.numbers.__getitem__
-        sizes = np.fromiter(map(len, keys), np.int64, len(keys))
-        parts = np.fromiter((number(k) for ks in keys for k in ks), np.int64, int(sizes.sum()))
-        first, lengths = self.ends[parts], self.ends[parts + 1] - self.ends[parts]
-        upto = np.cumsum(lengths)
-        ids = self.flat[np.repeat(first - (upto - lengths), lengths) + np.arange(upto[-1] if len(upto) else 0)]
-        return ids, np.diff(np.concatenate([[0], upto])[np.concatenate([[0], np.cumsum(sizes)])])
+        found = self.model.encode(texts, num_threads=1)
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), "<u4", int(counts.sum())), counts
 
 
 class Bytes:
-    """Ids by a byte-level tokenizer; strings of special tokens are ordinary text."""
+    """Ids by a byte-level tokenizer of a space and each text; strings of special tokens are ordinary text."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.coder = Encoder(path, ids=True, plain_specials=True)
-        self.coder.table_entries = TABLE_BYTES // 200
+        self.split = self.coder.split
         letters, vocabulary = byte_letters(), Tokenizer.from_file(path).get_vocab()
         self.bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, number in vocabulary.items():
@@ -129,24 +94,51 @@ class Bytes:
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [np.frombuffer(raw, "<u4") for raw in self.coder.of(" " + t if t else "" for t in texts)]
+        self.coder.close()
         return np.concatenate([np.empty(0, "<u4"), *found]), np.fromiter(map(len, found), np.int64, len(found))
 
+    def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that may each follow any other after a space."""
+        flat, lengths = [np.empty(0, "<u4")], [np.empty(0, np.int64)]
+        self.coder._encode(words, flat, lengths)
+        return np.concatenate(flat), np.concatenate(lengths)
+
 
 def _joined(table: list[bytes], ids: np.ndarray) -> bytes:
     return b"".join(map(table.__getitem__, ids.tolist()))
 
 
+class Cut(NamedTuple):
+    """Of some texts one after another: groups as written, each with a semicolon after it, counts, and the pairs of the links."""
+
+    written: list[bytes]
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    sound: np.ndarray
+    pairs: np.ndarray
+
+
 class Aligner:
-    """Groups and links of texts."""
+    """Groups and links of texts.
+
+    Both sides split at a space between two other characters, so a word with the space before it has its groups alone. What a word
+    has is kept in a table of up to TABLE_WORDS; a full one keeps the words that were met again. Texts with other white space
+    around spaces are cut as a whole.
+    """
 
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = Bytes(a_path), Pieces(b_path)
+        self.split = self.a.split and self.b.split
         self.sizes = [np.fromiter(map(len, side.bytes), np.int64, len(side.bytes)) for side in (self.a, self.b)]
         n_a, n_b = len(self.a.bytes), len(self.b.bytes)
         if n_a >= 1 << A_BITS:
             raise ValueError("too many ids")
-        self.words = [*(f"{i}," for i in range(n_a)), *(f"{i}|" for i in range(n_a)), *(f"{i}," for i in range(n_b)), *(f"{i};" for i in range(n_b))]
-        self.words = [w.encode() for w in self.words]
+        self.texts = [*(f"{i}," for i in range(n_a)), *(f"{i}|" for i in range(n_a)), *(f"{i}," for i in range(n_b)), *(f"{i};" for i in range(n_b))]
+        self.texts = [w.encode() for w in self.texts]
+        self.numbers: dict[str, int] = {}
+        self.known = Cut([], *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, bool), np.zeros(0, np.uint64))
+        self.again = np.zeros(0, bool)
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Pairs as numbers: bucket of b, rest of b, a."""
@@ -158,18 +150,17 @@ class Aligner:
         """Pairs of bucket k are from k * shift on."""
         return -(-len(self.b.bytes) // RADIX) << A_BITS
 
-    def of(self, texts: list[str]) -> tuple[dict[str, list], np.ndarray, np.ndarray]:
-        """Counts and digests by text, and the pair and the text of each link in order.
+    def cut(self, texts: list[str], a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> Cut:
+        """Groups of texts with these ids, one text after another.
 
         A text whose tokens do not give its bytes back, with a space before, has no tokens. Every token has a byte at least, so each end is one token's.
         """
-        (a, n_a), (b, n_b) = self.a.of(texts), self.b.of(texts)
         raw = [b" " + t.encode() if t else b"" for t in texts]
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         sound = np.ones(len(texts), bool)
         for side, ids, counts, sizes in ((self.a, a, n_a, self.sizes[0]), (self.b, b, n_b, self.sizes[1])):
-            cuts, cut = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(sizes[ids])])
-            same = np.diff(cut[cuts]) == size
+            cuts, at = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(sizes[ids])])
+            same = np.diff(at[cuts]) == size
             if same.all() and _joined(side.bytes, ids) == b"".join(raw):
                 continue
             for i in range(len(texts)):
@@ -186,17 +177,85 @@ class Aligner:
         in_a = at[ends_a]
         cuts_a, cuts_b = np.concatenate([[0], np.cumsum(n_a)]), np.concatenate([[0], np.cumsum(n_b)])
         closed_a, closed_b = np.concatenate([[0], np.cumsum(in_a)]), np.concatenate([[0], np.cumsum(in_b)])
-        n_groups = np.diff(closed_b[cuts_b])
         upto_a, upto_b = np.nonzero(in_a)[0] + 1, np.concatenate([[0], np.nonzero(in_b)[0] + 1])
         order = np.empty(len(a) + len(b), np.int64)
         order[np.arange(len(a)) + upto_b[closed_a[:-1]]] = a + np.where(in_a, len(self.a.bytes), 0)
         order[np.arange(len(b)) + upto_a[closed_b[:-1]]] = b + np.where(in_b, len(self.b.bytes), 0) + 2 * len(self.a.bytes)
-        cuts, word = (cuts_a + cuts_b).tolist(), self.words.__getitem__
-        digests = [
-            hashlib.sha256(b"".join(map(word, order[s:e].tolist()))[:-1]).hexdigest() if e > s else "" for s, e in zip(cuts, cuts[1:])
-        ]
-        counts = {"n_a": n_a.tolist(), "n_b": n_b.tolist(), "n_groups": n_groups.tolist(), "n_links": n_groups.tolist(), "groups_sha256": digests}
-        return counts, self.pair(a[in_a], b[in_b]), np.repeat(np.arange(len(texts)), n_groups)
+        cuts, text = (cuts_a + cuts_b).tolist(), list(map(self.texts.__getitem__, order.tolist()))
+        written = [b"".join(text[s:e]) for s, e in zip(cuts, cuts[1:])]
+        return Cut(written, n_a, n_b, np.diff(closed_b[cuts_b]), sound, self.pair(a[in_a], b[in_b]))
+
+    def _forget(self) -> None:
+        """Keep the words that were met in a later group than the one they were learnt in, unless these are too many."""
+        kept = np.flatnonzero(self.again)
+        if 2 * len(kept) > TABLE_WORDS:
+            kept = kept[:0]
+        to = np.full(len(self.again), -1, np.int64)
+        to[kept] = np.arange(len(kept))
+        names = to.tolist()
+        self.numbers = {w: names[i] for w, i in self.numbers.items() if i >= 0 and names[i] >= 0}
+        old, begins = self.known, np.concatenate([[0], np.cumsum(self.known.n_groups)])
+        pairs = old.pairs[_spread(begins[kept], old.n_groups[kept])]
+        self.known = Cut([old.written[i] for i in kept.tolist()], *(x[kept] for x in old[1:5]), pairs)
+        self.again = np.zeros(len(kept), bool)
+
+    def _learn(self, texts: list[list[str]]) -> None:
+        if len(self.numbers) > TABLE_WORDS:
+            self._forget()
+        fresh = {w for words in texts for w in words if w not in self.numbers}
+        bad = [w for w in fresh if not w or w[0].isspace()]
+        self.numbers.update(dict.fromkeys(bad, UNSAFE))
+        new = list(fresh.difference(bad))
+        if not new:
+            return
+        found = self.cut(new, *self.a.of_words(new), *self.b.of(new))
+        self.numbers.update(zip(new, range(len(self.again), len(self.again) + len(new))))
+        old = self.known
+        self.known = Cut(old.written + found.written, *(np.concatenate([x, y]) for x, y in zip(old[1:], found[1:])))
+        self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
+
+    def of(self, texts: list[str]) -> tuple[dict[str, list], np.ndarray, np.ndarray]:
+        """Counts and digests by text, and the pair and the text of each link."""
+        n = len(texts)
+        split = [t.split(" ") if t and self.split else [] for t in texts]
+        known_before = len(self.again) if len(self.numbers) <= TABLE_WORDS else 0
+        self._learn(split)
+        number = self.numbers.__getitem__
+        sizes = np.fromiter(map(len, split), np.int64, n)
+        words = np.fromiter((number(w) for s in split for w in s), np.int64, int(sizes.sum()))
+        of_word = np.repeat(np.arange(n), sizes)
+        whole = np.zeros(n, bool)
+        whole[of_word[words == UNSAFE]] = True
+        whole |= np.fromiter((bool(t) for t in texts), bool, n) & (sizes == 0)
+        lost = whole.copy()
+        if len(words):
+            lost[of_word[~self.known.sound[words] & (words != UNSAFE)]] = True
+            lost &= ~whole
+        good = ~(whole | lost)
+        mine = good[of_word] if len(words) else np.zeros(0, bool)
+        words, of_word = words[mine], of_word[mine]
+        self.again[words[words < known_before]] = True
+        totals = {k: np.bincount(of_word, getattr(self.known, k)[words], minlength=n).astype(np.int64) for k in ("n_a", "n_b", "n_groups")}
+        begins = np.concatenate([[0], np.cumsum(self.known.n_groups)])
+        counts = self.known.n_groups[words]
+        pairs, docs = self.known.pairs[_spread(begins[words], counts)], np.repeat(of_word, counts)
+        text, cuts = self.known.written.__getitem__, np.concatenate([[0], np.cumsum(np.where(good, sizes, 0))]).tolist()
+        written = list(map(text, words.tolist()))
+        digests = [hashlib.sha256(b"".join(written[s:e])[:-1]).hexdigest() if e > s else "" for s, e in zip(cuts, cuts[1:])]
+        for i in np.flatnonzero(whole).tolist():
+            found = self.cut(texts[i : i + 1], *self.a.of(texts[i : i + 1]), *self.b.of(texts[i : i + 1]))
+            for k, total in totals.items():
+                total[i] = getattr(found, k)[0]
+            digests[i] = hashlib.sha256(found.written[0][:-1]).hexdigest() if found.sound[0] and found.written[0] else ""
+            pairs, docs = np.concatenate([pairs, found.pairs]), np.concatenate([docs, np.full(len(found.pairs), i)])
+        columns = {k: v.tolist() for k, v in totals.items()}
+        return {**columns, "n_links": columns["n_groups"], "groups_sha256": digests}, pairs, docs
+
+
+def _spread(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Positions of runs that begin at ``begins``, one run after another."""
+    upto = np.cumsum(counts)
+    return np.repeat(begins - (upto - counts), counts) + np.arange(int(upto[-1]) if len(upto) else 0)
 
 
 _KEPT: dict[tuple[str, str], Aligner] = {}
@@ -282,6 +341,7 @@ def write_runs(docs: DataFrame, folder: str, a_path: str, b_path: str, chunk_lin
                 chunk = Chunk()
         if chunk.rows["doc_id"]:
             done.append(chunk.write(folder, tool.shift()))
+        release()
         yield pa.RecordBatch.from_pylist(done, kinds)
 
     return settle(docs.mapInArrow(write, "file string, n_docs long, n_links long"))

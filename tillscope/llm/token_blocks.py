@@ -209,7 +209,6 @@ def write_blocks(
                 writer = Writer(store.open_output_stream(f"{base}/{name}"))
             for doc, found in zip(ids, coder.of(t.as_py() or "" for t in texts)):
                 writer.add(doc, found + end)
-        coder.close()
         release()
         if writer is not None:
             writer.close()

@@ -3,7 +3,7 @@
 For a byte-level BPE that splits with its own pattern and adds no prefix space, a place before one space or line feed that
 a non-space character follows is safe: the pattern always starts a new pre-token there, whatever stands before. Only a
 special string ends the text before it, so white space right before one stays with what precedes it. So the tokens of a text
-are those of its pieces, and pieces recur: each worker keeps a bounded table of pieces it has seen and sends only new ones to
+are those of its pieces, and pieces recur: each worker keeps a bounded table of pieces it has seen, a full one those that were met again, and sends only new ones to
 the library, side by side in texts of at most JOINED pieces, told apart by the bytes that each token stands for. Other
 tokenizers get whole texts.
 
@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 BATCH_BYTES = 1 << 20
-TABLE_ENTRIES = 150_000  # about 30 MB
+TABLE_ENTRIES = 800_000  # about 150 MB
 JOINED = 256
 UNSAFE = -1
 
@@ -52,7 +52,6 @@ class Encoder:
 
     def __init__(self, path: str, ids: bool, plain_specials: bool = False):
         self.path, self.ids, self.split, self.safe = path, ids, False, None
-        self.table_entries = TABLE_ENTRIES
         self._forget()
         if path.endswith(".model"):
             import sentencepiece
@@ -84,12 +83,25 @@ class Encoder:
             for token, number in tokenizer.get_vocab().items():
                 self.sizes[number] = len(token.encode() if number in added else token)
 
-    def _forget(self) -> None:
-        self.numbers = _Numbers(self.safe)
-        self.flat, self.ends = np.empty(0, "<u4"), np.zeros(1, np.int64)
+    def _forget(self, keep: np.ndarray | None = None) -> None:
+        """An empty table, or one with the pieces of the numbers to ``keep``, ascending."""
+        old, numbers = getattr(self, "numbers", {}), _Numbers(self.safe)
+        if keep is None or not len(keep):
+            self.flat, self.ends = np.empty(0, "<u4"), np.zeros(1, np.int64)
+        else:
+            to = np.full(old.next, UNSAFE, np.int64)
+            to[keep] = np.arange(len(keep))
+            names = to.tolist()
+            numbers.update((k, names[n]) for k, n in old.items() if n >= 0 and names[n] >= 0)
+            numbers.next = len(keep)
+            first, lengths = self.ends[keep], np.diff(self.ends)[keep]
+            upto = np.cumsum(lengths)
+            self.flat = self.flat[np.repeat(first - (upto - lengths), lengths) + np.arange(int(upto[-1]))]
+            self.ends = np.concatenate([[0], upto])
+        self.numbers, self.again = numbers, np.zeros(TABLE_ENTRIES, bool)
 
     def close(self) -> None:
-        """Drop the table, for the end of a task."""
+        """Drop the table."""
         self._forget()
 
     def keys(self, text: str) -> list[str]:
@@ -156,8 +168,10 @@ class Encoder:
             yield from self._group(group)
 
     def _group(self, group: list[str]) -> Iterator:
-        if len(self.numbers) > self.table_entries or not self.split:
-            self._forget()
+        if len(self.numbers) > TABLE_ENTRIES or not self.split:
+            met = np.flatnonzero(self.again)  # in a later group than the one they were learnt in
+            self._forget(met if self.split and 2 * len(met) <= TABLE_ENTRIES else None)
+        before = min(self.numbers.next, TABLE_ENTRIES)
         number = self.numbers.__getitem__
         parts = []
         for text in group:
@@ -166,6 +180,7 @@ class Encoder:
             if len(part) and part.min() == UNSAFE:
                 keys = self._safe_keys(text)
                 part = np.fromiter(map(number, keys), np.int64, len(keys))
+            self.again[part[(part >= 0) & (part < before)]] = True
             parts.append(part)
         if self.numbers.new:
             self._learn()
