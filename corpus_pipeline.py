@@ -14,12 +14,8 @@ from tillscope.session import settle
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. The counts are made twice, for the cutoffs and the filter, so no text is moved."""
-    columns = docs.columns
-    narrow = docs.select("doc_id", "lang", "text")
-    counted = settle(quality_rules.measured(narrow).drop("text"))
-    cuts = quality_rules.cutoffs(counted, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_rules.judged(quality_rules.measured(docs), cuts).where("kept").select(*columns)
+    """Documents that the quality rules keep."""
+    return quality_rules.passed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
