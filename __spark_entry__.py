@@ -12,7 +12,7 @@ from pyspark.sql.types import DecimalType, StringType, TimestampNTZType
 from tillscope.functions.exact import significant
 from tillscope.operators import etl, profile, quality, stats
 from tillscope.plans import digests, measures, reports, suite
-from tillscope.schemas import STATUSES, TABLES
+from tillscope.schemas import RAW_FEED, STATUSES, TABLES
 from tillscope.session import fresh_path
 from tillscope.sources import orderlines, tables
 from tillscope.star import Star, is_failed
@@ -48,10 +48,19 @@ def on_raw(step: Callable[[DataFrame], DataFrame]) -> Query:
 # Scans, sinks, loads and audits
 
 
-def scan_csv_inferred(star: Star) -> DataFrame:
-    spark = star.fact.sparkSession
-    path = tables.export_csv(star.table("dim_customers").select(*TABLES["dim_customers"].names), fresh_path(spark, "customers"))
-    return tables.scan_csv_inferred(spark, path)
+def drifted_feed(raw: DataFrame) -> str:
+    """The whole feed exported as CSV, with a band that turns to text on some rows."""
+    band = F.when(F.col("transaction_id") % 1000 == 1, F.lit("band A")).otherwise(F.col("credit_score_band").cast("string"))
+    return tables.export_csv(raw.withColumn("credit_score_band", band), fresh_path(raw.sparkSession, "feed"))
+
+
+def scan_csv_inferred(raw: DataFrame) -> DataFrame:
+    found = tables.scan_csv_inferred(raw.sparkSession, drifted_feed(raw))
+    return found.withColumn("transaction_time", F.col("transaction_time").cast("string"))
+
+
+def schema_drift(raw: DataFrame) -> DataFrame:
+    return tables.schema_drift(raw.sparkSession, drifted_feed(raw), RAW_FEED)
 
 
 def scan_csv_typed(star: Star) -> DataFrame:
@@ -138,6 +147,23 @@ def load_reconciliation(star: Star) -> DataFrame:
     return quality.reconcile(quality.csv_line_counts(spark, folder), quality.row_counts(loaded))
 
 
+def domain_audit(star: Star) -> DataFrame:
+    """The exported text of all tables, with amounts too large, scores that are no numbers or have too many places, and a long device."""
+    spark = star.fact.sparkSession
+    texts = {name: df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]) for name, df in star.tables().items()}
+    tid = F.col("transaction_id").cast("bigint")
+    planted = {
+        "amount": F.when(tid % 1000 == 1, "99999999999.99").when(tid % 1000 == 2, "1e3x").otherwise(F.col("amount")),
+        "risk_score": F.when(tid % 500 == 3, "12.345").when(tid % 500 == 4, "12.300").otherwise(F.col("risk_score")),
+        "device_type": F.when(tid % 2000 == 5, F.repeat(F.lit("x"), F.lit(51))).otherwise(F.col("device_type")),
+        "is_fraud": F.when(tid % 1000 == 6, "yes").otherwise(F.col("is_fraud")),
+    }
+    texts["fact_transactions"] = texts["fact_transactions"].withColumns(planted)
+    folder = fresh_path(spark, "text")
+    read = {name: tables.scan_csv_text(spark, tables.export_csv(df, f"{folder}/{name}")) for name, df in texts.items()}
+    return quality.domain_audit(read)
+
+
 def default_fill(star: Star) -> DataFrame:
     """Flags removed on some rows, then filled by the defaults."""
     gaps = star.fact.withColumns(
@@ -164,7 +190,6 @@ def layout_for_lookup(star: Star) -> DataFrame:
 
 
 LOADS = {
-    "scan_csv_inferred": scan_csv_inferred,
     "scan_csv_typed": scan_csv_typed,
     "scan_column_subset": scan_column_subset,
     "inline_dims": inline_dims,
@@ -177,7 +202,7 @@ LOADS = {
     "pk_audit": quality.pk_audit,
     "not_null_audit": quality.not_null_audit,
     "fk_orphan_audit": quality.fk_orphan_audit,
-    "domain_audit": quality.domain_audit,
+    "domain_audit": domain_audit,
     "default_fill": default_fill,
     "layout_for_lookup": layout_for_lookup,
 }
@@ -248,7 +273,14 @@ def with_repeats(raw: DataFrame) -> DataFrame:
     return raw.unionByName(raw.where("transaction_id % 50 = 0"))
 
 
+def with_long_ids(raw: DataFrame) -> DataFrame:
+    """The feed with a reference of 19 digits, which a double does not hold."""
+    return raw.withColumn("network_reference", F.lit(1_234_567_890_123_456_000) + F.col("transaction_id"))
+
+
 RAW_STEPS = {
+    "scan_csv_inferred": scan_csv_inferred,
+    "schema_drift": schema_drift,
     "dim_customers_build": etl.build_customers,
     "surrogate_labels": surrogate_labels,
     "hash_bucket_assign": hash_bucket_assign,
@@ -266,7 +298,7 @@ RAW_STEPS = {
     "profile_column_roles": profile.roles,
     "profile_timestamps": profile.timestamps,
     "profile_categories": profile.categories,
-    "profile_numeric": profile.numbers,
+    "profile_numeric": lambda raw: profile.numbers(with_long_ids(raw)),
     "profile_report": profile.report,
 }
 
@@ -295,7 +327,7 @@ def run_sql(star: Star) -> DataFrame:
 
 
 def report_catalog(star: Star) -> DataFrame:
-    return suite.run_suite(star, fresh_path(star.fact.sparkSession, "suite"), store=False)
+    return suite.run_suite(star, fresh_path(star.fact.sparkSession, "suite"), store=False).drop("error")
 
 
 REPORTS = {
@@ -443,8 +475,8 @@ def training_data():
     try:
         import tillscope.llm.queries as found
     except ModuleNotFoundError as missing:
-        if missing.name not in ("tillscope.llm", "tillscope.llm.queries", "corpus_pipeline"):
-            raise
+        if (missing.name or "").startswith("tillscope.") and not missing.name.startswith("tillscope.llm"):
+            raise  # a part of the analytics, which must be there
         return None
     return found
 

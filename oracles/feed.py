@@ -75,7 +75,8 @@ labelled AS (
          {pick('transaction', 'transaction_id', 0, GATEWAYS)} AS gateway FROM tried)"""
 
 RAW_TYPES = [(f.name, f.dataType.simpleString()) for f in RAW_FEED]
-NUMBERS = [n for n, t in RAW_TYPES if t != "string"]
+NUMBERS = {n: t for n, t in RAW_TYPES if t != "string"}
+REFERENCE = "CAST(1234567890123456000 AS BIGINT) + transaction_id"
 
 
 def union(parts) -> str:
@@ -86,9 +87,58 @@ def round4(x: str) -> str:
     return f"floor(({x}) * 1e4 + 5e-1) / 1e4"
 
 
+def numeric(name: str, kind: str, table: str) -> str:
+    """The line of one column; whole numbers are averaged and halved as such, as a double has too few digits for long ids."""
+    if kind == "double":
+        low, high, mean, middle = f"min({name})", f"max({name})", f"avg({name})", f"median({name})"
+        exact = [f"printf('%.4f', {round4(x)})" for x in (low, high, middle)]
+    else:
+        low, high, mean = f"min({name})", f"max({name})", f"CAST(sum(CAST({name} AS HUGEINT)) AS DOUBLE) / count({name})"
+        twice = f"(CAST(quantile_disc({name}, 0.5) AS HUGEINT) - quantile_disc(-{name}, 0.5))"
+        middle = f"CAST({twice} AS DOUBLE) / 2"
+        exact = [f"{low} || '.0000'", f"{high} || '.0000'", f"({twice} // 2) || CASE WHEN {twice} % 2 = 0 THEN '.0000' ELSE '.5000' END"]
+    return (
+        f"SELECT '{name}' AS column_name, {round4(low)} AS min_value, {round4(high)} AS max_value, {round4(mean)} AS mean_value,"
+        f" {round4(middle)} AS median_value, {exact[0]} AS min_exact, {exact[1]} AS max_exact, {exact[2]} AS median_exact FROM {table}"
+    )
+
+
 N_RAW = "(SELECT count(*) FROM raw_feed)"
+BAND = "CASE WHEN transaction_id % 1000 = 1 THEN 'band A' ELSE CAST(credit_score_band AS VARCHAR) END"
+
+
+def drift() -> str:
+    """Types that Spark infers from the exported feed: the narrowest whole number, a timestamp where all texts are times."""
+    parts = []
+    for i, (name, kind) in enumerate(RAW_TYPES):
+        shape = f"CASE WHEN max(abs({name})) < 2147483648 THEN 'int' ELSE 'bigint' END" if kind == "bigint" else f"'{kind}'"
+        verdict = f"CASE WHEN {shape} = '{kind}' THEN 'SAME' ELSE 'NARROWED' END"
+        lost, example = "count(*) FILTER (WHERE false)", "CAST(NULL AS VARCHAR)"
+        if name == "transaction_time":
+            shape, verdict = "'timestamp'", "'NARROWED'"
+        if name == "credit_score_band":
+            shape, verdict = "'string'", "'TO TEXT'"
+            lost, example = "count(*) FILTER (WHERE transaction_id % 1000 = 1)", "'band A'"
+        parts.append(
+            f"SELECT {i + 1} AS position, '{name}' AS column_name, '{kind}' AS declared_type, {shape} AS inferred_type,"
+            f" {verdict} AS verdict, {lost} AS lost_values, {example} AS example FROM raw_feed"
+        )
+    return union(parts)
 
 BODIES = {
+    "scan_csv_inferred": "SELECT "
+    + ", ".join(
+        f"{BAND} AS {n}"
+        if n == "credit_score_band"
+        else f"substr({n}, 1, 26) AS {n}"  # times are read to the microsecond
+        if n == "transaction_time"
+        else f"CAST({n} AS INTEGER) AS {n}"
+        if t == "bigint"
+        else n
+        for n, t in RAW_TYPES
+    )
+    + " FROM raw_feed",
+    "schema_drift": drift(),
     "dim_customers_build": f"""{CUSTOMERS}
 SELECT customer_id, 'Customer_' || customer_id AS customer_name, customer_segment, city, state,
   CAST(account_age_days AS INTEGER) AS account_age_days, CAST(credit_score_band AS INTEGER) AS credit_score_band,
@@ -165,11 +215,9 @@ r AS (SELECT *, count(*) OVER (PARTITION BY column_name) AS cardinality,
   row_number() OVER (PARTITION BY column_name ORDER BY value_count DESC, value NULLS FIRST) AS rnk FROM v)
 SELECT column_name, cardinality, CAST(rnk AS INTEGER) AS value_rank, value, value_count,
   {pct('value_count', N_RAW)} AS value_pct FROM r WHERE rnk <= 5""",
-    "profile_numeric": union(
-        f"SELECT '{n}' AS column_name, {round4(f'min({n})')} AS min_value, {round4(f'max({n})')} AS max_value,"
-        f" {round4(f'avg({n})')} AS mean_value, {round4(f'median({n})')} AS median_value FROM raw_feed"
-        for n in NUMBERS
-    ),
+    "profile_numeric": f""", long_ids AS (SELECT *, {REFERENCE} AS network_reference FROM raw_feed)
+"""
+    + union(numeric(n, t, "long_ids") for n, t in [*NUMBERS.items(), ("network_reference", "bigint")]),
 }
 
 SQL = {name: raw(body) for name, body in BODIES.items()}
@@ -220,7 +268,9 @@ SQL["profile_report"] = union(
             text("cardinality"),
         ),
         *lines(
-            "numbers", SQL["profile_numeric"], fixed(4, "min_value", "max_value", "mean_value", "median_value")
+            "numbers",
+            raw(union(numeric(n, t, "raw_feed") for n, t in NUMBERS.items())),
+            {"min_value": "min_exact", "max_value": "max_exact", **fixed(4, "mean_value"), "median_value": "median_exact"},
         ),
     ]
 )

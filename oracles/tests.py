@@ -159,6 +159,6 @@ SQL = {name: star(body) for name, body in BODIES.items()}
 
 SQL["report_catalog"] = "\nUNION ALL ".join(
     f"SELECT {i} AS report_id, '{name}' AS report_name, '{file}' AS file_name,"
-    f" (SELECT count(*) FROM ({reports.SQL[key]}) q) AS exported_rows"
+    f" (SELECT count(*) FROM ({reports.SQL[key]}) q) AS exported_rows, 'EXPORTED' AS status"
     for i, name, file, key in SUITE
 )

@@ -141,6 +141,19 @@ def test_run_sql(spark, star):
         assert "Query execution error" in str(e)
 
 
+def test_a_failed_report_does_not_stop_the_suite(spark, star, tmp_path):
+    broken = suite.Report(9, "Broken", "broken.csv", lambda s: s.fact.select(F.raise_error(F.lit("no such gateway")).cast("string").alias("x")))
+    found = suite.run_suite(star, str(tmp_path / "out"), suite=[suite.SUITE[0], broken, suite.SUITE[5]], store=False).collect()
+    assert [(r.report_id, r.status) for r in found] == [(1, "EXPORTED"), (9, "FAILED"), (6, "EXPORTED")]
+    assert found[1].exported_rows is None and found[1].error and found[0].error is None and found[2].exported_rows == 20
+
+
+def test_errors_at_run_time_are_wrapped(spark, star):
+    with pytest.raises(RuntimeError, match="Query execution error"):
+        suite.run_sql_rows(spark, star, "SELECT 1 / (transaction_id - transaction_id) FROM fact_transactions")
+    assert suite.run_sql_rows(spark, star, "SELECT 1 AS one")[0].one == 1
+
+
 def test_suite_exports_readable_files(spark, star, tmp_path):
     lines = suite.run_suite(star, str(tmp_path / "out")).collect()
     assert [r.report_id for r in sorted(lines)] == [1, 2, 3, 4, 5, 6]

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType, NumericType, StringType
+from pyspark.sql.types import DoubleType, FloatType, NumericType
 from pyspark.sql.window import Window
 
 from tillscope.functions.exact import pct, round4
-from tillscope.operators.prefix import range_slices
+from tillscope.operators import selection
 from tillscope.operators.quality import union_all
+from tillscope.operators.totals import with_totals
 from tillscope.session import settle
 
 DAYS_PER_MONTH = 30.4375
@@ -84,16 +87,43 @@ def nulls(df: DataFrame) -> DataFrame:
     return _missing_counts(df).select("column_name", "null_count", "null_pct", "any_nulls")
 
 
-def duplicates(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each set of equal rows.
+def row_hashes(df: DataFrame) -> dict[str, Column]:
+    """Two 64-bit hashes of a whole row; equal rows have equal ones. Nulls count, as the hash itself passes over them."""
+    parts = []
+    for field in df.schema:
+        col = F.col(field.name)
+        if isinstance(field.dataType, (DoubleType, FloatType)):
+            col = F.when(F.isnan(col), F.lit("NaN").cast(field.dataType)).otherwise(col + F.lit(0).cast(field.dataType))
+        parts += [col.isNull(), col]
+    return {"_h1": F.xxhash64(*parts), "_h2": F.xxhash64(F.lit("second"), *reversed(parts))}
+
+
+def duplicates(df: DataFrame, hashes: dict[str, Column] | None = None, limit: int = 1_000_000) -> DataFrame:
+    """Rows beyond the first of each set of equal rows; nulls are equal to each other.
 
-    One scan and one shuffle on all columns; equal rows fold on the map side. Nulls are equal to each other.
+    The first scan shuffles two hashes a row, folded on the map side, and settles the hashes that more than one row has, which are
+    all hashes of equal rows. The second compares rows with such a hash whole, column by column, so two different rows of equal
+    hashes are told apart. Up to ``limit`` of them (32 MB) are broadcast, and no column of a row without a twin is
+    shuffled; beyond that the rows meet them by a shuffle.
     """
+    keyed = df.withColumns(hashes or row_hashes(df))
+    counted = settle(
+        keyed.groupBy("_h1", "_h2").agg(F.count("*").alias("_n"))
+        .groupBy(F.when(F.col("_n") > 1, F.col("_h1")).alias("_h1"), F.when(F.col("_n") > 1, F.col("_h2")).alias("_h2"), (F.col("_n") > 1).alias("_twin"))
+        .agg(F.sum("_n").alias("_n"))
+    )
+    twins = counted.where("_twin").select("_h1", "_h2")
+    some = twins.limit(limit + 1).count()
     none = F.lit(0).cast("bigint")
+    total = counted.agg(F.coalesce(F.sum("_n"), none).alias("total_rows"))
+    if not some:
+        return total.withColumn("duplicate_rows", none).withColumn("duplicate_pct", pct(none, F.col("total_rows")))
+    few = some <= limit
+    met = keyed.join(F.broadcast(twins) if few else twins, ["_h1", "_h2"], "left_semi").select(*df.columns)
+    extra = met.groupBy(*df.columns).agg((F.count("*") - 1).alias("_n")).agg(F.sum("_n").alias("duplicate_rows"))
     return (
-        df.groupBy(*df.columns)
-        .agg(F.count("*").alias("_n"))
-        .agg(F.coalesce(F.sum("_n"), none).alias("total_rows"), F.coalesce(F.sum(F.col("_n") - 1), none).alias("duplicate_rows"))
+        with_totals(total, extra)
+        .withColumn("duplicate_rows", F.coalesce("duplicate_rows", none))
         .withColumn("duplicate_pct", pct(F.col("duplicate_rows"), F.col("total_rows")))
     )
 
@@ -182,63 +212,18 @@ def categories(df: DataFrame, top_k: int = 5) -> DataFrame | None:
 
 
 def medians(df: DataFrame, names: list[str]) -> DataFrame:
-    """Exact median per column, at any size.
-
-    Equal values are folded before the shuffle. The distinct values are range-partitioned into slices and settled;
-    the slice totals tell which slices hold the middle ranks, and only those, two per column at most, are
-    searched. That bound is also the size of the one table broadcast.
-    """
-    values = (
-        df.select(F.posexplode(F.array(*[F.col(c).cast("double") for c in names])).alias("place", "value"))
-        .where(F.col("value").isNotNull() & ~F.isnan("value"))
-        .groupBy("place", "value")
-        .agg(F.count("*").alias("n"))
-    )
-    placed = settle(range_slices(values, [F.asc("place"), F.asc("value")], None, "slice"))
-    whole = Window.partitionBy("place")
-    earlier = whole.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.sum("part").over(whole)
-    ranks = (
-        placed.groupBy("place", "slice")
-        .agg(F.sum("n").alias("part"))
-        .select(
-            "place",
-            "slice",
-            "part",
-            F.coalesce(F.sum("part").over(earlier), F.lit(0)).alias("before"),
-            F.call_function("div", size + 1, F.lit(2)).alias("low"),
-            (F.call_function("div", size, F.lit(2)) + 1).alias("high"),
-        )
-        .where((F.col("before") < F.col("high")) & (F.col("low") <= F.col("before") + F.col("part")))
-    )
-    inside = Window.partitionBy("place", "slice").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.col("upto")
-
-    def holds(rank: Column) -> Column:
-        return (upto - F.col("n") < rank) & (rank <= upto)
-
-    return (
-        placed.join(F.broadcast(ranks), ["place", "slice"])
-        .withColumn("upto", F.col("before") + F.sum("n").over(inside))
-        .where(holds(F.col("low")) | holds(F.col("high")))
-        .groupBy("place")
-        .agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-        .select(
-            F.element_at(F.array(*[F.lit(c) for c in names]), F.col("place") + 1).alias("column_name"),
-            ((F.col("lo") + F.col("hi")) / 2.0).alias("median_value"),
-        )
-    )
+    """Exact median per column, at any size."""
+    return selection.described(df, names).select("column_name", "median_value")
 
 
-def _ranges(df: DataFrame, names: list[str], approx: bool) -> DataFrame:
+def _ranges(df: DataFrame, names: list[str]) -> DataFrame:
     aggs = []
     for i, c in enumerate(names):
         real = isinstance(df.schema[c].dataType, (DoubleType, FloatType))
         v = F.when(~F.isnan(c), F.col(c)) if real else F.col(c)
         aggs += [F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}"), F.avg(v).alias(f"mean{i}")]
-        if approx:
-            aggs.append(F.percentile_approx(v, 0.5, 1_000).alias(f"median{i}"))
-    parts = ["min", "max", "mean", *(["median"] if approx else [])]
+        aggs.append(F.percentile_approx(v, 0.5, 1_000).alias(f"median{i}"))
+    parts = ["min", "max", "mean", "median"]
     lines = [
         F.struct(
             F.lit(c).alias("column_name"),
@@ -250,88 +235,97 @@ def _ranges(df: DataFrame, names: list[str], approx: bool) -> DataFrame:
 
 
 def numbers(df: DataFrame, approx: bool = False) -> DataFrame | None:
-    """Per numeric column: min, max, mean and median, to four decimals.
+    """Per numeric column: min, max, mean and median, to four decimals, and all but the mean as exact text.
 
-    ``approx`` takes the median from a quantile sketch in the same pass.
+    Two scans, see ``selection``. ``approx`` takes the median from a quantile sketch in one, and gives no exact text.
     """
     names = of_role(df, NUMBER)
     if not names:
         return None
-    base = union_all(
-        [_ranges(df, names[i : i + COLUMNS_PER_PASS], approx) for i in range(0, len(names), COLUMNS_PER_PASS)]
-    )
     if approx:
-        return base
-    return base.join(medians(df, names), "column_name", "left").withColumn(
-        "median_value", round4(F.col("median_value"))
-    )
+        return union_all([_ranges(df, names[i : i + COLUMNS_PER_PASS]) for i in range(0, len(names), COLUMNS_PER_PASS)])
+    return rounded(selection.described(df, names))
 
 
-def _long(part: DataFrame, section: str, subject: Column, metrics: dict[str, str]) -> DataFrame:
-    """A profile part as (section, column_name, metric, value) lines; doubles are shown with four decimals."""
+def rounded(found: DataFrame) -> DataFrame:
+    return found.withColumns({c: round4(F.col(c)) for c in ("min_value", "max_value", "mean_value", "median_value")})
 
-    def shown(name: str) -> Column:
-        real = isinstance(part.schema[name].dataType, DoubleType)
-        return F.format_string("%.4f", F.col(name)) if real else F.col(name).cast("string")
 
-    lines = [F.struct(F.lit(m).alias("metric"), shown(c).alias("value")) for m, c in metrics.items()]
-    return part.select(
-        F.lit(section).alias("section"), subject.alias("column_name"), F.inline(F.array(*lines))
+def _first_scan(df: DataFrame, lines: selection.Lines) -> dict[str, Row]:
+    """By column, from one scan: rows, present values, times that parse with the first and the last, range and bracket of numbers."""
+    none, structs, kinds = F.lit(None), [], column_roles(df)
+    for name in df.columns:
+        k, x = lines.pair(name) if name in lines.names else (none.cast(lines.kind).alias("k"), none.cast("double").alias("x"))
+        time = as_time(df, name) if kinds[name] == DATE else none.cast("timestamp_ntz")
+        structs.append(F.struct(k, x, time.alias("t"), (~_missing(df, name)).alias("filled"), F.col(name).isNotNull().alias("given")))
+    found = (
+        df.select(F.posexplode(F.array(*structs)).alias("place", "v"))
+        .select("place", "v.*")
+        .groupBy("place")
+        .agg(
+            F.count("*").alias("rows"), F.count_if("filled").alias("present"), F.count("t").alias("valid"),
+            F.count_if(F.col("given") & F.col("t").isNull()).alias("failed"), F.min("t").cast("string").alias("earliest"),
+            F.max("t").cast("string").alias("latest"), *selection.bracket_terms(),
+        )
+    )
+    return {df.columns[r.place]: r for r in found.collect()}  # a row a column
+
+
+def _categories_of(folds: DataFrame, lines: selection.Lines, top_k: int) -> DataFrame:
+    """Lines of the text columns, from their folded values."""
+    name = F.element_at(F.array(*map(F.lit, lines.texts)), F.col("place") - len(lines.names) + 1)
+    counted = folds.where(F.col("place") >= len(lines.names)).select(name.alias("column_name"), F.col("s").alias("value"), "n")
+    best = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc_nulls_first("value"))
+    top = counted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
+    shown = F.concat_ws(" ", "column_name", F.concat(F.lit("#"), F.col("rank")), F.coalesce("value", F.lit("<NULL>")))
+    sizes = counted.groupBy("column_name").agg(F.count("*").alias("n"))
+    return top.select(shown.alias("column_name"), F.lit("value_count").alias("metric"), F.col("n").cast("string").alias("value")).unionByName(
+        sizes.select("column_name", F.lit("cardinality").alias("metric"), F.col("n").cast("string").alias("value"))
     )
 
 
-def _by_column(values: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+def _percent(part: int, whole: int) -> str | None:
+    return str(Decimal(part * 100).__truediv__(whole).quantize(Decimal("0.01"), rounding="ROUND_HALF_UP")) if whole else None
 
 
 def report(df: DataFrame, top_k: int = 5, approx: bool = False) -> DataFrame:
-    """All parts as one long table of text values."""
-    column, table = F.col("column_name"), F.lit("*")
-    counted = settle(_missing_counts(df))  # one row per column; it holds what shape and roles would count again
-    named = F.element_at(_by_column({f.name: f.dataType.simpleString() for f in df.schema}), column)
-    role = F.element_at(_by_column(column_roles(df)), column)
-    described = counted.withColumns({"data_type": named, "column_role": role})
-    parts = [
-        _long(described, "shape", column, {"data_type": "data_type", "total_rows": "total_rows"}),
-        _long(described, "nulls", column, {"null_count": "null_count", "null_pct": "null_pct"}),
-        _long(
-            duplicates(df),
-            "duplicates",
-            table,
-            {"duplicate_rows": "duplicate_rows", "duplicate_pct": "duplicate_pct"},
-        ),
-        _long(described, "roles", column, {"column_role": "column_role"}),
-    ]
-    times, texts, nums = timestamps(df), categories(df, top_k), numbers(df, approx)
-    if times is not None:
-        parts.append(
-            _long(
-                times,
-                "timestamps",
-                column,
-                {n: n for n in ("valid_count", "failed_count", "earliest", "latest")},
-            )
-        )
-    if texts is not None:
-        texts = settle(texts)  # top_k rows per column, used twice
-        ranked = texts.withColumn(
-            "line",
-            F.concat_ws(" ", F.concat(F.lit("#"), F.col("value_rank")), F.coalesce("value", F.lit("<NULL>"))),
-        )
-        parts.append(
-            _long(ranked, "categories", F.concat_ws(" ", column, F.col("line")), {"value_count": "value_count"})
-        )
-        per_column = texts.groupBy("column_name").agg(F.max("cardinality").alias("cardinality"))
-        parts.append(_long(per_column, "categories", column, {"cardinality": "cardinality"}))
-    if nums is not None:
-        parts.append(
-            _long(
-                nums,
-                "numbers",
-                column,
-                {n: n for n in ("min_value", "max_value", "mean_value", "median_value")},
-            )
-        )
+    """All parts as one long table of text values: section, column_name, metric, value.
+
+    Three scans of the feed. The first has the counts, the time ranges and the brackets of the numbers of all columns; the second
+    folds numbers and texts; the third looks for equal rows, and only where there are any is a fourth to compare them. Long
+    decimals take two scans of their own column each. ``approx`` takes medians from a sketch.
+    """
+    spark, kinds = df.sparkSession, column_roles(df)
+    names = {role: [c for c in df.columns if kinds[c] == role] for role in (DATE, NUMBER, TEXT)}
+    lines, *long = selection.families(df, names[NUMBER], names[TEXT]) or [selection.Lines(df, [])]
+    found = _first_scan(df, lines)
+    out: list[tuple] = []
+    for c in df.columns:
+        row = found.get(c)
+        rows, present = (row.rows, row.present) if row else (0, 0)
+        out += [("shape", c, "data_type", df.schema[c].dataType.simpleString()), ("shape", c, "total_rows", str(rows))]
+        out += [("nulls", c, "null_count", str(rows - present)), ("nulls", c, "null_pct", _percent(rows - present, rows))]
+        out.append(("roles", c, "column_role", kinds[c]))
+        if kinds[c] == DATE:
+            values = (str(row.valid), str(row.failed), row.earliest, row.latest) if row else ("0", "0", None, None)
+            out += [("timestamps", c, m, v) for m, v in zip(("valid_count", "failed_count", "earliest", "latest"), values)]
+    brackets = {i: found[n] for i, n in enumerate(lines.names) if n in found and found[n].around is not None}
+    folds = settle(selection.folded(lines, brackets)) if not approx and lines.names or lines.texts else None
+    if approx and names[NUMBER]:
+        described = [(*r[:5], *(None if r[i] is None else selection.text_of(r[i]) for i in (1, 2, 4))) for r in numbers(df, approx=True).collect()]
+    else:
+        described = selection.rows_of(lines, brackets, selection.middles(lines, brackets, folds.where(F.col("place") < len(lines.names)))) if lines.names else []
+        for own in long:
+            described += map(tuple, selection.described(df, own.names).collect())  # a row a column
+    for c, _, _, mean, _, low, high, median in described:
+        mean = None if mean is None else selection.text_of(mean)
+        out += [("numbers", c, m, v) for m, v in (("min_value", low), ("max_value", high), ("mean_value", mean), ("median_value", median))]
+    parts = [spark.createDataFrame(out, "section string, column_name string, metric string, value string")] if out else []
+    if names[TEXT]:
+        parts.append(_categories_of(folds, lines, top_k).select(F.lit("categories").alias("section"), "column_name", "metric", "value"))
+    twice = duplicates(df)
+    pairs = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("string").alias("value")) for c in ("duplicate_rows", "duplicate_pct")]
+    parts.append(twice.select(F.lit("duplicates").alias("section"), F.lit("*").alias("column_name"), F.inline(F.array(*pairs))))
     return union_all(parts)
 
 

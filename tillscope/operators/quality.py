@@ -5,6 +5,7 @@ Spark does not enforce keys or NOT NULL, so the table contract is checked by the
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -105,18 +106,34 @@ def not_null_audit(star: Star) -> DataFrame:
     return union_all(parts)
 
 
-def domain_audit(star: Star) -> DataFrame:
-    """Texts longer than declared and numbers that do not fit the declared precision."""
+def _lost_places(text: Column, scale: int) -> Column:
+    """Whether a number as text has digits, other than zeros, beyond ``scale`` decimals."""
+    return text.rlike(rf"\.\d{{{scale}}}\d*[1-9]\d*([eE]|\s*$)")
+
+
+def domain_audit(texts: Star | Mapping[str, DataFrame]) -> DataFrame:
+    """What a load would lose, told on the tables' text before any cast: one line for each column and check.
+
+    Texts longer than declared; values that the column's type does not take, as they are no such number or time or have too many
+    whole digits; and decimals with more places than declared, which a cast would round away. Empty values are left to the
+    NOT NULL audit. ``texts`` has each table with every column as text, as ``scan_csv_text`` reads it; a star's columns are made text.
+    """
+    if isinstance(texts, Star):
+        texts = {name: df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]) for name, df in texts.tables().items()}
     parts = []
-    for name, df in star.tables().items():
+    for name, df in texts.items():
         checks = []
         for c in TABLES[name].columns:
+            text = F.col(c.name)
             if isinstance(c.type, StringType):
-                checks.append((c.name, f"LENGTH <= {c.max_length}", F.length(c.name) > c.max_length))
-            elif isinstance(c.type, DecimalType):
-                fits = F.col(c.name).try_cast(c.type)
-                check = f"NUMERIC({c.type.precision},{c.type.scale})"
-                checks.append((c.name, check, F.col(c.name).isNotNull() & fits.isNull()))
+                checks.append((c.name, f"LENGTH <= {c.max_length}", F.length(text) > c.max_length))
+                continue
+            taken = F.trim(text).try_cast(c.type)
+            decimal = isinstance(c.type, DecimalType)
+            kind = f"NUMERIC({c.type.precision},{c.type.scale})" if decimal else c.type.simpleString().upper()
+            checks.append((c.name, kind, (F.trim(text) != "") & taken.isNull()))
+            if decimal:
+                checks.append((c.name, f"SCALE <= {c.type.scale}", _lost_places(text, c.type.scale)))
         parts.append(_column_checks(df, name, checks))
     return union_all(parts)
 

@@ -383,27 +383,71 @@ def replace_filters(df: DataFrame, terms: Sequence[Term], keys: Sequence[str]) -
     return df.select(*keys, *columns.values(), SHOWN).where(F.col(SHOWN) > 0 if keys else F.lit(True))
 
 
-def _visual_terms(star: Star, terms: Sequence[Term], keys: Sequence[str], where: Filters) -> DataFrame:
-    return replace_filters(term_sums(star, terms, keys, where), _unique(terms), keys)
+class Folds:
+    """The star's term sums at any level of ``by``, from one fold of the fact for each kind of entity that the measures need.
+
+    Sums add up over groups and entities, and a term's own filters are in them. So a level is summed from the fold, and only then do
+    filters replace the grouping. Plain measures use the fold of an entity where there is one. Slicers that a measure drops ask
+    for one more fold.
+    """
+
+    def __init__(self, star: Star, names: Sequence[str], by: Sequence[str]):
+        self.star, self.by, self.folds = star, list(by), {}
+        kinds = {"customer": "customer_id", "merchant": "merchant_id", "per_merchant": "merchant_id", "top": "merchant_id"}
+        self.terms: dict[tuple[str, ...], list[Term]] = {}
+        for n in names:
+            ids = tuple(i for i in [kinds.get(MEASURES[n].kind)] if i and i not in by)
+            self.terms.setdefault(ids, []).extend(MEASURES[n].terms)
+        finest = max(self.terms, key=len, default=())
+        if finest and () in self.terms:
+            self.terms[finest] += self.terms.pop(())
+
+    @property
+    def customers(self) -> DataFrame:
+        return self.star.customers
+
+    @property
+    def merchants(self) -> DataFrame:
+        return self.star.merchants
+
+    def sums(self, terms: Sequence[Term], keys: Sequence[str], where: Filters) -> DataFrame:
+        ids = tuple(k for k in keys if k in ENTITY_IDS and k not in self.by)
+        terms = _unique(terms)
+        if ids not in self.terms:  # any fold with these terms will do
+            held = [i for i, own in self.terms.items() if {t.name for t in terms} <= {t.name for t in own}]
+            ids = held[0] if held else ids
+        slot = ids, tuple(sorted(where))
+        if slot not in self.folds:
+            self.folds[slot] = settle(term_sums(self.star, self.terms.get(ids, terms), [*self.by, *ids], where))
+        folded = self.folds[slot].groupBy(*keys).agg(*[F.sum(n).alias(n) for n in (SHOWN, *(t.name for t in terms))])
+        return _fill_rows(folded, terms)
+
+
+Source = Star | Folds
+
+
+def _visual_terms(star: Source, terms: Sequence[Term], keys: Sequence[str], where: Filters) -> DataFrame:
+    sums = star.sums if isinstance(star, Folds) else lambda *a: term_sums(star, *a)
+    return replace_filters(sums(terms, keys, where), _unique(terms), keys)
 
 
 def _unique(terms: Sequence[Term]) -> list[Term]:
     return list({t.name: t for t in terms}.values())
 
 
-def _plain(star: Star, names: Sequence[str], by: Sequence[str], where: Filters) -> DataFrame:
+def _plain(star: Source, names: Sequence[str], by: Sequence[str], where: Filters) -> DataFrame:
     terms = _unique([t for n in names for t in MEASURES[n].terms])
     return _visual_terms(star, terms, by, where).select(*by, *[MEASURES[n].value().alias(n) for n in names])
 
 
-def _customer_frame(star: Star, names: Sequence[str], by: Sequence[str], where: Filters) -> DataFrame:
+def _customer_frame(star: Source, names: Sequence[str], by: Sequence[str], where: Filters) -> DataFrame:
     """Measures over the customers of each group: fold per customer, test, fold again."""
     terms = _unique([t for n in names for t in MEASURES[n].terms])
     per_customer = _visual_terms(star, terms, [*by, "customer_id"], where).where(F.col("customer_id").isNotNull())
     return per_customer.groupBy(*by).agg(*[MEASURES[n].value().alias(n) for n in names])
 
 
-def _table_count(star: Star, name: str, by: Sequence[str], where: Filters) -> tuple[DataFrame, list[str]]:
+def _table_count(star: Source, name: str, by: Sequence[str], where: Filters) -> tuple[DataFrame, list[str]]:
     """Members of a dimension per group. Fact columns do not filter a dimension."""
     kind = MEASURES[name].kind
     table, columns = (star.customers, CUSTOMER_COLUMNS) if kind == "customers" else (star.merchants, MERCHANT_COLUMNS)
@@ -426,7 +470,7 @@ def _spread(df: DataFrame, own: list[str], spine: DataFrame, by: Sequence[str])
     return spine.join(right, same, "left").select(*by, *value)
 
 
-def _dimension_frames(star: Star, names: Sequence[str], by: Sequence[str], where: Filters) -> list[DataFrame]:
+def _dimension_frames(star: Source, names: Sequence[str], by: Sequence[str], where: Filters) -> list[DataFrame]:
     frames = []
     for n in names:
         counted, own = _table_count(star, n, by, where)
@@ -435,7 +479,7 @@ def _dimension_frames(star: Star, names: Sequence[str], by: Sequence[str], where
     return frames
 
 
-def _merchant_frames(star: Star, names: Sequence[str], by: Sequence[str], where: Filters) -> list[DataFrame]:
+def _merchant_frames(star: Source, names: Sequence[str], by: Sequence[str], where: Filters) -> list[DataFrame]:
     """All measures that need one row per group and merchant, from a single fold of the fact."""
     loss = FAILED_VOLUME.name
     terms = _unique([t for n in names for t in MEASURES[n].terms])
@@ -504,7 +548,7 @@ def _align(frames: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:
     return stacked.groupBy(*by).agg(*[F.max(c).alias(c) for c in stacked.columns if c not in by])
 
 
-def evaluate(star: Star, names: Sequence[str], by: Sequence[str] = (), where: Filters | None = None) -> DataFrame:
+def evaluate(star: Source, names: Sequence[str], by: Sequence[str] = (), where: Filters | None = None) -> DataFrame:
     """The named measures per group of ``by``, under the slicers ``where`` (column -> test)."""
     names, where = [find(n) for n in names], dict(where or {})
     def of(*wanted: str) -> list[str]:
@@ -526,30 +570,16 @@ def evaluate_with_totals(
 ) -> DataFrame:
     """Any measures per group, with a subtotal per leading group and a grand total.
 
-    ``totals_level`` is the number of grouping columns summed away. Terms that add up are summed in one pass and rates are
-    taken anew. Measures over customers or merchants, and terms that filter a grouping column, do not add up: they are
-    evaluated anew for each level, in the filter context of that level.
+    ``totals_level`` is the number of grouping columns summed away. Each level is evaluated in its own filter context, from folds of
+    the fact that all levels share: one, or one for customers and one for merchants, whatever the number of columns.
     """
     names, where = [find(n) for n in names], dict(where or {})
-
-    def adds_up(name: str) -> bool:
-        return MEASURES[name].kind == "plain" and not any(k in t.filters for t in MEASURES[name].terms for k in by)
-
-    frames = []
-    summed, anew = [n for n in names if adds_up(n)], [n for n in names if not adds_up(n)]
-    if summed:
-        terms = _unique([t for n in summed for t in MEASURES[n].terms])
-        sums = term_sums(star, terms, by, where)
-        levels = sum((F.grouping(k).cast("int") for k in by), F.lit(0))
-        rolled = sums.rollup(*by).agg(*[F.sum(t.name).alias(t.name) for t in terms], levels.alias("totals_level"))
-        frames.append(rolled.select(*by, "totals_level", *[MEASURES[n].value().alias(n) for n in summed]))
-    if anew:
-        levels = []
-        for left in range(len(by), -1, -1):
-            level = evaluate(star, anew, by[:left], where).withColumn("totals_level", F.lit(len(by) - left))
-            levels.append(level)
-        frames.append(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), levels))
-    return _align(frames, [*by, "totals_level"]).select(*by, "totals_level", *names)
+    folds = Folds(star, names, by)
+    levels = [
+        evaluate(folds, names, by[:left], where).withColumn("totals_level", F.lit(len(by) - left)) for left in range(len(by), -1, -1)
+    ]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), levels)
+    return stacked.select(*by, "totals_level", *names)
 
 
 CORE = list(MEASURES)[:13]

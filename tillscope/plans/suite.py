@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tillscope.plans import reports
@@ -61,7 +63,11 @@ def register(star: Star) -> None:
 
 
 def run_sql(spark: SparkSession, star: Star, text: str) -> DataFrame:
-    """Any SELECT over the five tables; one trailing semicolon is allowed."""
+    """Any SELECT over the five tables; one trailing semicolon is allowed.
+
+    Errors of parsing and analysis are raised here as RuntimeError. The query runs when its rows are asked for, so what goes wrong
+    then is raised there, as Spark tells it; ``run_sql_rows`` wraps that too.
+    """
     register(star)
     try:
         return spark.sql(text.strip().removesuffix(";").strip())
@@ -69,17 +75,44 @@ def run_sql(spark: SparkSession, star: Star, text: str) -> DataFrame:
         raise RuntimeError(f"Query execution error (Spark): {e}") from e
 
 
-def run_suite(star: Star, folder: str, store: bool = True) -> DataFrame:
-    """Run and export every report; returns one line per report with its file and the rows written.
+def run_sql_rows(spark: SparkSession, star: Star, text: str, limit: int = 1000) -> list[Row]:
+    """The first ``limit`` rows of a SELECT; errors at run time are raised as RuntimeError like those of analysis."""
+    found = run_sql(spark, star, text)
+    try:
+        return found.limit(limit).collect()
+    except PySparkException as e:
+        raise RuntimeError(f"Query execution error (Spark): {e}") from e
+
+
+def run_report(report: Report, star: Star, folder: str) -> tuple:
+    """The line of one exported report; an error is told in the line and not raised."""
+    written = Observation()
+    try:
+        export_csv(report.run(star).observe(written, F.count("*").alias("n")), f"{folder}/{report.file}")
+        return report.id, report.name, report.file, written.get["n"], "EXPORTED", None
+    except Exception as e:  # noqa: BLE001
+        return report.id, report.name, report.file, None, "FAILED", f"{type(e).__name__}: {e}".splitlines()[0][:500]
+
+
+def run_suite(
+    star: Star, folder: str, store: bool = True, threads: int = 3, suite: Sequence[Report] = SUITE
+) -> DataFrame:
+    """Run and export every report; returns one line per report with its file, the rows written and its status.
 
+    ``threads`` reports are submitted at a time, each to a pool of its own name, which the fair scheduler shares the cores among
+    where the cluster runs it; the last tasks of one report then leave no cores idle. A report that fails does not stop the others.
     ``store`` first writes the star to ``folder``, so that six reports do not derive it six times; leave it out
     where the tables are scans already.
     """
     spark = star.fact.sparkSession
     stored = read_star(spark, write_star(star, f"{folder}/star")) if store else star
-    lines = []
-    for r in SUITE:
-        written = Observation()
-        export_csv(r.run(stored).observe(written, F.count("*").alias("n")), f"{folder}/{r.file}")
-        lines.append((r.id, r.name, r.file, written.get["n"]))
-    return spark.createDataFrame(lines, "report_id int, report_name string, file_name string, exported_rows bigint")
+    stored.tables()  # made here, before threads ask for them side by side
+
+    def run(report: Report) -> tuple:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", report.file)
+        return run_report(report, stored, folder)
+
+    with ThreadPoolExecutor(threads) as pool:
+        lines = list(pool.map(inheritable_thread_target(spark)(run), suite))
+    schema = "report_id int, report_name string, file_name string, exported_rows bigint, status string, error string"
+    return spark.createDataFrame(lines, schema)

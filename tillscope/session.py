@@ -48,8 +48,36 @@ def shared_folder(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path that no earlier write has used, in this application's own folder under the shared one."""
-    run = spark.sparkContext.applicationId
-    return f"{shared_folder(spark).rstrip('/')}/tillscope/{run}/{uuid.uuid4().hex}/{name}"
+    return f"{run_folder(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This application's own folder under the shared one; all that is settled lies in it."""
+    return f"{shared_folder(spark).rstrip('/')}/tillscope/{spark.sparkContext.applicationId}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> bool:
+    """Delete a folder in whatever store it lies; False where there is none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def content_mark(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of the files at a path, from which a change of its content can be told."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = store.listStatus(place)
+    return ";".join(sorted(f"{f.getPath().getName()},{f.getLen()},{f.getModificationTime()}" for f in files))
+
+
+def drop_run(spark: SparkSession) -> bool:
+    """Delete all that this application has settled. For the end of a run: frames that read it can no longer be used."""
+    return remove_folder(spark, run_folder(spark))
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from tillscope.functions.exact import to_money
 from tillscope.schemas import CITY_STATE, FAILURE_REASONS, GATEWAYS, PAYMENT_METHODS, RAW_FEED, TABLES
-from tillscope.session import fresh_path
+from tillscope.session import content_mark, fresh_path
 from tillscope.sources.tables import literal_table
 from tillscope.star import Star
 
@@ -31,7 +31,7 @@ INPUTS = {
     "part": "p_partkey bigint, p_type string",
 }
 
-_stored: dict[tuple[str, str, str], str] = {}
+_stored: dict[tuple[str, ...], str] = {}
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,8 +39,9 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _store_once(spark: SparkSession, sf_dir: str, name: str, build, schema: StructType) -> DataFrame:
-    """The table ``build`` makes, written on first use in a session and scanned from then on."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """The table ``build`` makes, written on first use in a session and scanned from then on, until an input file changes."""
+    marks = ";".join(content_mark(spark, f"{sf_dir}/{table}.parquet") for table in INPUTS)
+    key = (spark.sparkContext.applicationId, sf_dir, name, marks)
     if key not in _stored:
         path = fresh_path(spark, name)
         build(spark, sf_dir).write.parquet(path)
