@@ -1,6 +1,6 @@
 """What the plans of the main reports must and must not hold."""
 
-from tillscope.operators import profile
+from tillscope.operators import profile, selection
 from tillscope.plans import measures, reports
 from tillscope.session import settle
 from tillscope.sources.tables import read_star, write_star
@@ -71,6 +71,12 @@ def test_numbers_read_the_feed_twice(spark, raw):
     assert seen.value == 2 * raw.count()
 
 
+def test_no_scan_makes_a_line_of_every_value(raw):
+    lines = selection.Lines(raw, ["transaction_amount", "customer_id"], texts=["device_type"])
+    assert "Generate" not in plan(selection.folded(lines, selection.brackets(lines)))
+    assert "Generate" not in plan(raw.agg(*selection.bracket_terms(lines)))
+
+
 def test_totals_of_any_number_of_columns_read_the_fact_twice_at_most(spark, star):
     names = ["total_transactions", "failure_rate", "at_risk_customers", "top_20_merchant_loss_share", "successful_transactions"]
     n = star.fact.count()

@@ -187,6 +187,14 @@ def test_duplicates_with_colliding_hashes(spark):
         assert profile.duplicates(df, limit=limit).first().duplicate_rows == 2
 
 
+def test_sums_of_batches_are_exact(spark):
+    """Sums beyond a bigint, of both signs, below, inside and above the bracket."""
+    values = [2**63 - 1] * 700 + [-(2**63)] * 500 + [-1, 0, 1, 2**32 - 1, -(2**32)] * 9
+    lines = selection.Lines(spark.createDataFrame([(v,) for v in values], "n bigint").repartition(3), ["n"])
+    row = selection.middles(lines, selection.brackets(lines))[0]
+    assert (row.rows, int(row.total)) == (len(values), sum(values))
+
+
 def test_duplicates_of_signed_zeros_nans_and_nulls(spark):
     nan = float("nan")
     df = spark.createDataFrame([(0.0, None), (-0.0, None), (nan, 1.0), (nan, 1.0), (None, nan), (1.0, nan)], "a double, b double")
