@@ -187,6 +187,14 @@ def test_duplicates_with_colliding_hashes(spark):
         assert profile.duplicates(df, limit=limit).first().duplicate_rows == 2
 
 
+def test_duplicates_by_one_hash_a_row(spark, raw):
+    """A second hash would double the shuffle; whole rows are compared wherever hashes meet, here in all rows."""
+    assert len(profile.row_hashes(raw)) == 1
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (2, None), (2, None), (None, "b")], "n int, t string")
+    for limit in (0, 100):
+        assert profile.duplicates(df, hashes={"_h1": F.lit(1).cast("bigint")}, limit=limit).first().duplicate_rows == 2
+
+
 def test_sums_of_batches_are_exact(spark):
     """Sums beyond a bigint, of both signs, below, inside and above the bracket."""
     values = [2**63 - 1] * 700 + [-(2**63)] * 500 + [-1, 0, 1, 2**32 - 1, -(2**32)] * 9

@@ -44,7 +44,7 @@ def _store_once(spark: SparkSession, sf_dir: str, name: str, build, schema: Stru
     key = (spark.sparkContext.applicationId, sf_dir, name, marks)
     if key not in _stored:
         path = fresh_path(spark, name)
-        build(spark, sf_dir).write.parquet(path)
+        build(spark, sf_dir).write.option("compression", "zstd").parquet(path)
         _stored[key] = path
     return spark.read.schema(schema).parquet(_stored[key])
 
