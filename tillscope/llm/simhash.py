@@ -122,11 +122,11 @@ def labels(rows: DataFrame, id_col: str, radius: int) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """The one document of each component that has the least id; among repeated ids or null ids, one of them. All columns are kept."""
+    """The one document of each component that has the least id; among repeated ids or null ids, one of them. All columns but ``fp`` are kept."""
 
     def work(docs: DataFrame) -> DataFrame:
         rows = tagged(docs.withColumn("fp", fingerprints(F.col(text_col), shingle)))
         keep = labels(rows, id_col, radius).select(F.col("first_row").alias(ROW)).distinct()
         return rows.join(keep, ROW, "left_semi")
 
-    return keeping_columns(docs, (id_col, text_col), work)
+    return keeping_columns(docs.drop("fp"), (id_col, text_col), work)
