@@ -129,4 +129,4 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         keep = labels(rows, id_col, radius).select(F.col("first_row").alias(ROW)).distinct()
         return rows.join(keep, ROW, "left_semi")
 
-    return keeping_columns(docs.drop("fp"), (id_col, text_col), work)
+    return keeping_columns(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "fp"]), (id_col, text_col), work)
